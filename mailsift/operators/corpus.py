@@ -62,22 +62,21 @@ def text_lengths(rows: DataFrame) -> DataFrame:
     sums = rows.agg(
         F.count(F.lit(1)).alias("_n"), *[F.sum(length(c)).alias(c) for c in rows.columns]
     )
-    long = sums.select(
-        F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(i).alias("position"),
-                        F.lit(c).alias("column_name"),
-                        (F.col(c) / F.col("_n")).alias("mean_length"),
-                    )
-                    for i, c in enumerate(rows.columns)
-                ]
+    means = F.array(
+        *[
+            F.struct(
+                (F.col(c) / F.col("_n")).alias("mean_length"),
+                F.lit(-i).alias("order"),
+                F.lit(c).alias("column_name"),
             )
-        ).alias("r")
-    ).select("r.*")
-    best = long.agg(F.max_by("position", F.struct("mean_length", -F.col("position")))).scalar()
-    return long.withColumn("chosen", F.col("position") == best)
+            for i, c in enumerate(rows.columns)
+        ]
+    )
+    return (
+        sums.select(means.alias("m"), F.array_max(means).alias("best"))
+        .select(F.explode("m").alias("c"), "best")
+        .select("c.column_name", "c.mean_length", (F.col("c") == F.col("best")).alias("chosen"))
+    )
 
 
 def longest_text_column(rows: DataFrame) -> str:

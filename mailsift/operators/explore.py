@@ -51,18 +51,16 @@ def length_histogram(corpus: DataFrame, lang: str, clip: int, bins: int = 50) ->
 
     Bin numbers are whole-number arithmetic, so no edge value lands on the wrong side.
     """
-    counts = length_counts(corpus, lang, clip)
-    ends = counts.agg(F.min("len").alias("lo"), F.max("len").alias("hi"))
-    span = ends.select(F.struct("lo", "hi")).scalar()
-    lo, hi = F.col("_span.lo"), F.col("_span.hi")
-    wide = counts.withColumn("_span", span)
-    slot = F.when(hi == lo, bins // 2).otherwise(
-        F.least(F.floor((F.col("len") - lo) * bins / (hi - lo)), F.lit(bins - 1))
+    counts = length_counts(corpus, lang, clip)  # at most clip + 1 rows
+    every = Window.partitionBy()
+    lo, hi = F.min("len").over(every), F.max("len").over(every)
+    slot = F.when(F.col("hi") == F.col("lo"), bins // 2).otherwise(
+        F.least(F.floor((F.col("len") - F.col("lo")) * bins / (F.col("hi") - F.col("lo"))), F.lit(bins - 1))
     )
     return (
-        wide.groupBy(slot.cast("int").alias("bin"))
-        .agg(F.sum("n").alias("n"), F.min("_span.lo").alias("lo"), F.max("_span.hi").alias("hi"))
-        .select("bin", "n", "lo", "hi")
+        counts.withColumns({"lo": lo, "hi": hi})
+        .groupBy(slot.cast("int").alias("bin"))
+        .agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     )
 
 

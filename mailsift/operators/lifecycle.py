@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from mailsift.functions.text import detect_lang
-from mailsift.operators.scaling import first_by
+from mailsift.operators.scaling import first_by, lookup_join
 from mailsift.schema import (
     MAX_BACKUPS,
     MAX_F1_DROP,
@@ -141,7 +141,7 @@ def pruned(registry: DataFrame, keep: int = MAX_BACKUPS) -> DataFrame:
     )
     rows = registry.filter(F.col("kind") == "backup")
     return (
-        rows.join(F.broadcast(oldest_kept), "lang")
+        lookup_join(rows, oldest_kept, ["lang"], "inner")
         .filter(F.col("backup_id") < F.col("_oldest"))
         .select(*registry.columns)
     )
