@@ -21,7 +21,10 @@ from mailsift.schema import (
 )
 
 LANGS = tuple(RUN_VERSION)
-LATEST = (F.desc("trained_at"), F.desc("id"))
+
+
+def _latest_first():
+    return F.desc("trained_at"), F.desc("id")
 
 
 def _lang_of_version():
@@ -34,13 +37,13 @@ def _lang_of_version():
 
 def latest_runs(runs: DataFrame) -> DataFrame:
     """The latest run of each model version."""
-    return first_by(runs, ["model_version"], LATEST)
+    return first_by(runs, ["model_version"], _latest_first())
 
 
 def latest_promoted(runs: DataFrame) -> DataFrame:
     """Per language the F1 of the latest deployed run."""
     rows = runs.withColumn("lang", _lang_of_version()).filter(F.col("lang").isNotNull())
-    return first_by(rows, ["lang"], LATEST).select(
+    return first_by(rows, ["lang"], _latest_first()).select(
         "lang", F.col("f1_score").alias("old_f1"), "trained_at"
     )
 

@@ -20,8 +20,6 @@ from mailsift.operators.allowlist import flag_trusted, override_verdict
 from mailsift.operators.scaling import first_by, is_small, lookup_join
 from mailsift.schema import PAGE_SIZE, SENDER_CAP, VERSION_KO
 
-NEWEST = (F.desc("created_at"), F.desc("id"))
-
 
 # ---- counts -------------------------------------------------------------------------------
 def _count_label(column: str, label: str, name: str) -> Column:
@@ -58,7 +56,7 @@ def pending_count(messages: DataFrame, label: str | None = "spam") -> DataFrame:
 # ---- lists --------------------------------------------------------------------------------
 def newest(rows: DataFrame, n: int = 20) -> DataFrame:
     """Newest ``n`` rows; equal times fall back to the higher id."""
-    return rows.orderBy(*NEWEST).limit(n)
+    return rows.orderBy(F.desc("created_at"), F.desc("id")).limit(n)
 
 
 def page_count(total: int, size: int = PAGE_SIZE) -> int:
@@ -85,7 +83,7 @@ def row_range(rows: DataFrame, offset: int, size: int, shallow: int = 10_000) ->
     find the small slice the page starts in, so no task ever sorts or holds all rows above it.
     """
     if offset + size <= shallow:
-        return rows.orderBy(*NEWEST).offset(offset).limit(size)
+        return rows.orderBy(F.desc("created_at"), F.desc("id")).offset(offset).limit(size)
     micros = F.timestamp_diff("MICROSECOND", F.expr("timestamp_ntz'1970-01-01'"), F.col("created_at"))
     pool, above, inside = rows, 0, shallow + 1
     for unit in (86_400_000_000, 3_600_000_000, 60_000_000, 1_000_000, 1_000, 1):
@@ -101,11 +99,11 @@ def row_range(rows: DataFrame, offset: int, size: int, shallow: int = 10_000) ->
         step = F.floor((F.col("id") - low) / width)
         slot, above, inside = _slot(pool, step, offset, above)
         pool = pool.filter(step == slot)
-    start = pool.select("created_at", "id").orderBy(*NEWEST).offset(offset - above).limit(1).first()
+    start = pool.select("created_at", "id").orderBy(F.desc("created_at"), F.desc("id")).offset(offset - above).limit(1).first()
     at_or_after = (F.col("created_at") < start[0]) | (
         (F.col("created_at") == start[0]) & (F.col("id") <= start[1])
     )
-    return rows.filter(at_or_after).orderBy(*NEWEST).limit(size)
+    return rows.filter(at_or_after).orderBy(F.desc("created_at"), F.desc("id")).limit(size)
 
 
 def _slot(pool: DataFrame, step: Column, offset: int, above: int) -> tuple[int | None, int, int]:

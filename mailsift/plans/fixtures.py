@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from mailsift.functions.verdict import to_tier
 
-START = F.expr("timestamp_ntz'2024-01-01 00:00:00'")
 TRUSTED = [
     ("src1.example.org", "domain"),
     ("src3.example.com", "parent domain"),
@@ -24,6 +23,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _start():
+    return F.expr("timestamp_ntz'2024-01-01 00:00:00'")
+
+
 def _minutes(n):
     return F.make_dt_interval(F.lit(0), F.lit(0), n.cast("int"))
 
@@ -61,7 +64,7 @@ def mail(spark: SparkSession, sf_dir: str) -> DataFrame:
         prob.alias("spam_prob"),
         to_tier(prob).alias("predicted_label"),
         (d % 5 == 0).cast("int").alias("actioned"),
-        (START + _minutes(F.expr("doc_id div 2"))).alias("created_at"),
+        (_start() + _minutes(F.expr("doc_id div 2"))).alias("created_at"),
     )
 
 
@@ -106,7 +109,7 @@ def user_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
             .alias("content"),
             F.when((c + t) % 3 == 0, "spam").otherwise("ham").alias("user_label"),
             F.lit(None).cast("string").alias("note"),
-            (START + _hours(c) + _minutes(t)).alias("created_at"),
+            (_start() + _hours(c) + _minutes(t)).alias("created_at"),
         )
     )
 
@@ -168,7 +171,7 @@ def training_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         (((e * 43) % 1001) / 1000).alias("precision_val"),
         (((e * 47) % 1001) / 1000).alias("recall_val"),
         f1.alias("f1_score"),
-        (START + _hours((e * 7) % (20 + 10 * kind))).alias("trained_at"),
+        (_start() + _hours((e * 7) % (20 + 10 * kind))).alias("trained_at"),
     )
 
 
@@ -189,7 +192,7 @@ training_runs AS (
 def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("event_id")
     lang = F.when(e % 3 == 0, "en").otherwise("ko")
-    logged = START + _minutes((e * 13) % 5003)
+    logged = _start() + _minutes((e * 13) % 5003)
     backup_id = F.concat(
         F.date_format(logged, "yyyyMMdd_HHmmss"), F.lit("_"), F.lpad(e.cast("string"), 9, "0")
     )
@@ -205,11 +208,11 @@ def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
 REGISTRY_SQL = """
 registry AS (
   SELECT CASE WHEN event_id % 3 = 0 THEN 'en' ELSE 'ko' END AS lang,
-    strftime(at, '%Y%m%d_%H%M%S') || '_' || lpad(CAST(event_id AS VARCHAR), 9, '0') AS backup_id,
+    strftime(logged, '%Y%m%d_%H%M%S') || '_' || lpad(CAST(event_id AS VARCHAR), 9, '0') AS backup_id,
     'models/' || CASE WHEN event_id % 3 = 0 THEN 'en' ELSE 'ko' END || '/' || event_id AS path,
     CASE WHEN event_id % 5 = 0 THEN 'deploy' ELSE 'backup' END AS kind,
-    at AS logged_at
-  FROM (SELECT event_id, TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST((event_id * 13) % 5003 AS INTEGER)) AS at FROM events))"""
+    logged AS logged_at
+  FROM (SELECT event_id, TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST((event_id * 13) % 5003 AS INTEGER)) AS logged FROM events))"""
 
 
 def trust_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -221,7 +224,7 @@ def trust_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(d % 13 == 0, "   ").otherwise(raw).alias("pattern"),
         F.concat(F.lit("n"), d.cast("string")).alias("note"),
         F.when(d % 9 == 0, "remove").otherwise("add").alias("op"),
-        (START + _minutes(d)).alias("created_at"),
+        (_start() + _minutes(d)).alias("created_at"),
     )
 
 

@@ -55,7 +55,7 @@ MESSAGES = T.StructType(
         T.StructField("created_at", T.TimestampNTZType()),
     ]
 )
-MESSAGE_DEFAULTS = {"source": F.lit("manual"), "model_version": F.lit(VERSION_KO), "actioned": F.lit(0)}
+MESSAGE_DEFAULTS = {"source": "manual", "model_version": VERSION_KO, "actioned": 0}
 
 TRAINING_RUNS = T.StructType(
     [
@@ -115,7 +115,7 @@ REGISTRY = T.StructType(
 
 
 def conform(
-    df: DataFrame, schema: T.StructType, defaults: Mapping[str, Column] | None = None
+    df: DataFrame, schema: T.StructType, defaults: Mapping[str, object] | None = None
 ) -> DataFrame:
     """Bring ``df`` to ``schema``: add absent columns, fill defaults, cast and reorder.
 
@@ -126,7 +126,7 @@ def conform(
     for field in schema.fields:
         col = F.col(field.name).try_cast(field.dataType) if field.name in df.columns else F.lit(None)
         if field.name in defaults:
-            col = F.coalesce(col, defaults[field.name])
+            col = F.coalesce(col, F.lit(defaults[field.name]))
         out.append(col.cast(field.dataType).alias(field.name))
     return df.select(*out)
 

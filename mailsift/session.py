@@ -25,6 +25,7 @@ def local_session(cores: int | str = "*", app: str = "mailsift", memory: str = "
         .appName(app)
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(max(n or 1, 1)))
     )
     for key, value in RUNTIME_CONF.items():

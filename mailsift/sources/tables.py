@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,7 +42,7 @@ class Store:
         "action_log": ACTIONS,
         "registry": S.REGISTRY,
     }
-    DEFAULTS: Mapping[str, Mapping[str, Column]] = {"messages": S.MESSAGE_DEFAULTS}
+    DEFAULTS: Mapping[str, Mapping[str, object]] = {"messages": S.MESSAGE_DEFAULTS}
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
