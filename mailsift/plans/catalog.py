@@ -3,6 +3,7 @@
 from mailsift.plans import (  # noqa: F401
     corpus_queries,
     explore_queries,
+    ingest_queries,
     lifecycle_queries,
     mail_queries,
     text_queries,
