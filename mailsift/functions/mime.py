@@ -74,34 +74,45 @@ def too_deep(part: Column, level: int = 0) -> Column:
     return F.coalesce(F.exists(parts, lambda p: too_deep(p, level + 1)), F.lit(False))
 
 
-def _base64_digits(data: Column) -> Column:
-    return F.regexp_replace(F.translate(data, "-_", "+/"), "[^A-Za-z0-9+/]", "")
+def decode_texts(data: Column) -> Column:
+    """An array of URL-safe base64 to texts; bytes that are not UTF-8 are dropped.
+
+    Null stands for base64 that cannot be decoded. Each step is a pass of its own over the array,
+    so nothing is evaluated twice.
+    """
+    digits = F.transform(data, lambda d: F.translate(d, "-_", "+/"))
+    raw = F.transform(
+        digits,
+        lambda d: F.coalesce(
+            F.try_to_binary(d, F.lit("base64")),
+            F.try_to_binary(F.regexp_replace(d, "[^A-Za-z0-9+/]", ""), F.lit("base64")),
+        ),
+    )
+    texts = F.transform(raw, lambda b: b.cast("string"))
+    return F.transform(texts, lambda t: F.when(F.is_valid_utf8(t), t).otherwise(_drop_broken_bytes(t)))
 
 
-def decodable(data: Column) -> Column:
-    """A base64 text never has one digit left over."""
-    return F.length(_base64_digits(data)) % 4 != 1
+def _drop_broken_bytes(text: Column) -> Column:
+    # A replacement character that was in the mail is held aside while broken bytes are removed.
+    held = F.replace(text, F.lit("\ufffd"), F.lit("\ufdd0"))
+    cleaned = F.replace(F.make_valid_utf8(held), F.lit("\ufffd"), F.lit(""))
+    return F.replace(cleaned, F.lit("\ufdd0"), F.lit("\ufffd"))
 
 
-def decode_body(data: Column) -> Column:
-    """URL-safe base64 to text; bytes that are not UTF-8 are dropped."""
-    digits = _base64_digits(data)
-    missing = F.pmod(-F.length(digits), F.lit(4))
-    padded = F.concat(digits, F.repeat(F.lit("="), missing))
-    text = F.unbase64(F.when(decodable(data), padded)).cast("string")
-    # A replacement character that was in the mail is held aside while broken bytes are removed.
-    held = F.replace(text, F.lit("�"), F.lit("﷐"))
-    cleaned = F.replace(F.make_valid_utf8(held), F.lit("�"), F.lit(""))
-    return F.when(F.is_valid_utf8(text), text).otherwise(
-        F.replace(cleaned, F.lit("﷐"), F.lit("�"))
-    )
+def body_candidates(parts: Column, top_data: Column) -> Column:
+    """Encoded bodies in the order they are tried: text/plain parts, then the top-level body."""
+    plain = F.filter(parts, lambda p: p["mime"] == "text/plain")
+    data = F.concat(F.transform(plain, lambda p: p["data"]), F.array(top_data))
+    return F.filter(data, lambda d: d != "")
 
 
-def body_text(parts: Column, top_data: Column) -> Column:
-    """First non-empty text/plain part, else the top-level body; stripped."""
-    plain = F.filter(parts, lambda p: (p["mime"] == "text/plain") & (F.coalesce(p["data"], F.lit("")) != ""))
-    decoded = F.filter(F.transform(plain, lambda p: decode_body(p["data"])), lambda t: t != "")
-    return strip(F.coalesce(F.get(decoded, F.lit(0)), decode_body(top_data), F.lit("")))
+def first_text(texts: Column) -> Column:
+    """Struct of the first decoded body that is not empty: ``broken`` when it did not decode."""
+    hits = F.filter(texts, lambda t: t.isNull() | (t != ""))
+    return F.struct(
+        ((F.size(hits) > 0) & F.get(hits, F.lit(0)).isNull()).alias("broken"),
+        strip(F.coalesce(F.get(hits, F.lit(0)), F.lit(""))).alias("text"),
+    )
 
 
 def attachment_names(parts: Column) -> Column:

@@ -7,6 +7,7 @@ moved only where the result needs it.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -37,12 +38,26 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(cores, key)
 
 
+def computed(df: DataFrame, keep: Sequence[str], **columns: Column) -> DataFrame:
+    """``keep`` and new columns that are worked out once per row.
+
+    A later filter on an ordinary column is pushed down as a second copy of its expression. For
+    costly ones (regular expressions over whole texts, JSON) that doubles the work; a one-row
+    generator is not pushed through.
+    """
+    made = F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
+    return df.select(*keep, made)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint to the shared folder, so later jobs reread instead of recomputing."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint()
+    """Write to the shared folder and read back: later jobs neither recompute nor lose it.
+
+    A parquet table rather than a checkpoint of rows, so that counting passes read only the
+    columns they need.
+    """
+    path = f"{shared_dir(df.sparkSession)}/step-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def first_by(df: DataFrame, keys: Sequence[Column | str], order: Sequence[Column], n: int = 1) -> DataFrame:

@@ -6,6 +6,8 @@ from mailsift.plans import (  # noqa: F401
     ingest_queries,
     lifecycle_queries,
     mail_queries,
+    model_queries,
+    stream_queries,
     text_queries,
 )
 from mailsift.plans.registry import QUERIES, SQL

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailsift.functions import mime
-from mailsift.operators.scaling import BROADCAST_ROWS, first_by, lookup_join
+from mailsift.operators.scaling import BROADCAST_ROWS, computed, first_by, lookup_join
 from mailsift.schema import FETCH_SIZE
 
 
@@ -19,27 +19,28 @@ def read_landed(spark: SparkSession, path: str) -> DataFrame:
 
 def parse(raw: DataFrame) -> DataFrame:
     """pos and raw to gmail_id, subject, sender, body, attachment and ``reject`` (null when fine)."""
-    m = raw.withColumn("_m", mime.parse_message("raw"))
     top = F.col("_m.payload")
-    m = m.withColumn("_parts", mime.walk(top))
-    broken = F.exists(
-        "_parts",
-        lambda p: (p["mime"] == "text/plain") & ~mime.decodable(F.coalesce(p["data"], F.lit(""))),
+    m = (
+        raw.withColumn("_m", mime.parse_message("raw"))
+        .withColumn("_parts", mime.walk(top))
+        .withColumn("_texts", mime.decode_texts(mime.body_candidates(F.col("_parts"), top["body"]["data"])))
+        .withColumn("_first", mime.first_text(F.col("_texts")))
     )
     reject = (
         F.when(F.col("_m._corrupt").isNotNull() | F.col("_m").isNull(), "malformed")
         .when(F.col("_m.id").isNull(), "no id")
         .when(mime.too_deep(top), "nested too deep")
-        .when(broken, "bad base64")
+        .when(F.col("_first.broken"), "bad base64")
     )
-    return m.select(
-        "pos",
-        F.col("_m.id").alias("gmail_id"),
-        mime.header(top["headers"], "Subject").alias("subject"),
-        mime.header(top["headers"], "From").alias("sender"),
-        mime.body_text(F.col("_parts"), top["body"]["data"]).alias("body"),
-        mime.attachment_names(F.col("_parts")).alias("attachment"),
-        reject.alias("reject"),
+    return computed(
+        m,
+        ["pos"],
+        gmail_id=F.col("_m.id"),
+        subject=mime.header(top["headers"], "Subject"),
+        sender=mime.header(top["headers"], "From"),
+        body=F.col("_first.text"),
+        attachment=mime.attachment_names(F.col("_parts")),
+        reject=reject,
     )
 
 
