@@ -11,6 +11,10 @@ from mailsift.schema import CONTENT_CAP
 # The classes spell out Unicode, since the JVM's short forms are ASCII only.
 WS = r"[\p{Z}\x09-\x0d\x1c-\x1f\x{85}]"
 NOT_WS = r"[^\p{Z}\x09-\x0d\x1c-\x1f\x{85}]"
+WS_CHARS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 WORD = r"[\p{L}\p{N}_]"
 DIGITS = r"\p{Nd}+"
 CHAR_DOMAINS = "com|co\\.kr|kr|ly|gl|net|org"
@@ -33,13 +37,12 @@ def _c(col: Column | str) -> Column:
 
 def strip(col: Column | str) -> Column:
     """Drop leading and trailing whitespace of every Unicode kind."""
-    # The look-behind tries each run once, so a long inner run stays linear.
-    return F.regexp_replace(_c(col), f"^{WS}++|(?<!{WS}){WS}++$", "")
+    return F.trim(_c(col), F.lit(WS_CHARS))
 
 
 def collapse(col: Column | str) -> Column:
     """Each run of whitespace becomes one space, then strip."""
-    return strip(F.regexp_replace(_c(col), f"{WS}+", " "))
+    return F.trim(F.regexp_replace(_c(col), f"{WS}+", " "))
 
 
 def has_hangul(col: Column | str) -> Column:
@@ -108,20 +111,26 @@ def _marked(col: Column | str, domains: str) -> Column:
     return F.regexp_replace(text, DIGITS, f" {NUM_TOKEN} ")
 
 
-def _tokens(col: Column | str, domains: str, unit: str) -> Column:
-    # A marker counts only as a whole whitespace-delimited chunk.
-    marker = f"(?<!{NOT_WS})(?:{URL_TOKEN}|{NUM_TOKEN})(?!{NOT_WS})"
-    return F.regexp_extract_all(_marked(col, domains), F.lit(f"{marker}|{unit}"), F.lit(0))
-
-
 def char_tokens(col: Column | str) -> Column:
     """Korean tokens: one per character, links and numbers as markers."""
-    return _tokens(col, CHAR_DOMAINS, NOT_WS)
+    chunks = F.filter(F.split(_marked(col, CHAR_DOMAINS), f"{WS}+"), lambda c: c != "")
+    return F.flatten(
+        F.transform(
+            chunks,
+            lambda c: F.when(c.isin(URL_TOKEN, NUM_TOKEN), F.array(c)).otherwise(F.split(c, "")),
+        )
+    )
 
 
 def word_tokens(col: Column | str) -> Column:
-    """English tokens: runs of a-z and apostrophe, links and numbers as markers."""
-    return _tokens(col, WORD_DOMAINS, EN_WORD)
+    """English tokens: runs of a-z and apostrophe, links and numbers as markers.
+
+    A marker counts only as a whole whitespace-delimited chunk.
+    """
+    marker = f"(?<!{NOT_WS})(?:{URL_TOKEN}|{NUM_TOKEN})(?!{NOT_WS})"
+    return F.regexp_extract_all(
+        _marked(col, WORD_DOMAINS), F.lit(f"{marker}|{EN_WORD}"), F.lit(0)
+    )
 
 
 def tokens(col: Column | str, lang: str) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from mailsift.functions.text import HANGUL, collapse, compose_email, detect_lang, has_hangul, strip
 from mailsift.functions.verdict import is_spam, label_from_code
-from mailsift.operators.scaling import computed, cut_lineage, first_by, mark_smallest, seeded_hash
+from mailsift.operators.scaling import computed, cut_lineage, first_by, mark_smallest, seeded_hash, spread
 from mailsift.schema import (
     EN_PER_CLASS,
     FEEDBACK_COPIES,
@@ -28,7 +28,7 @@ NOISE = "(?iu)반송|Returned mail|Auto reply|out of the office"
 def clean(rows: DataFrame, column: str = "text") -> DataFrame:
     """Drop null, collapse whitespace, keep texts longer than MIN_TEXT_LEN characters."""
     rest = [c for c in rows.columns if c != column]
-    cleaned = computed(rows.filter(F.col(column).isNotNull()), rest, **{column: collapse(column)})
+    cleaned = computed(spread(rows).filter(F.col(column).isNotNull()), rest, **{column: collapse(column)})
     return cleaned.filter(F.length(column) > MIN_TEXT_LEN)
 
 
@@ -99,7 +99,7 @@ def distinct_texts(rows: DataFrame, order: Sequence[Column], column: str = "text
 def merge_corpus(rows: DataFrame, order: Sequence[Column]) -> DataFrame:
     """Final union step: drop null and empty texts, strip, first of equal texts, add language."""
     rest = [c for c in rows.columns if c != "text"]
-    kept = computed(rows.filter(F.col("text").isNotNull()), rest, text=strip("text"))
+    kept = computed(spread(rows).filter(F.col("text").isNotNull()), rest, text=strip("text"))
     kept = distinct_texts(kept.filter(F.col("text") != ""), order)
     return kept.withColumn("lang", detect_lang("text"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from mailsift.functions.text import tokens
-from mailsift.operators.scaling import BROADCAST_ROWS, HashLookup, spread
+from mailsift.operators.scaling import BROADCAST_ROWS, HashLookup, cut_lineage, spread
 from mailsift.schema import (
     EN_MAX_LEN,
     EN_VOCAB_SIZE,
@@ -26,28 +26,16 @@ VOCAB_SIZE = {"ko": KO_VOCAB_SIZE, "en": EN_VOCAB_SIZE}
 
 
 def token_counts(corpus: DataFrame, lang: str, order: str) -> DataFrame:
-    """Per token: how often it occurs, and where it appears first.
+    """Per token: how often it occurs and the smallest ``order`` value of a row holding it.
 
-    ``first_row`` is the smallest ``order`` value of a row holding the token, ``first_pos`` its
-    place among that row's distinct tokens. Each row contributes its occurrences and, apart from
-    them, its distinct tokens in order of appearance; so all aggregates are plain longs and
-    Spark sums them by hash before the shuffle. A token in every row costs one row per task.
+    Both are plain longs, summed by hash before the shuffle: a token that occurs everywhere
+    costs one row per task.
     """
-    t = tokens("text", lang)
-    seen = F.transform(t, lambda x: F.struct(x.alias("token"), F.lit(None).cast("int").alias("pos")))
-    firsts = F.transform(
-        F.array_distinct(t), lambda x, i: F.struct(x.alias("token"), i.cast("int").alias("pos"))
-    )
-    rows = (
-        spread(corpus.select(order, "text"), order)
-        .select(F.col(order).alias("row"), F.explode(F.concat(seen, firsts)).alias("e"))
-        .select("row", "e.token", "e.pos")
-    )
-    first_row = F.when(F.col("pos").isNotNull(), F.col("row"))
-    return rows.groupBy("token").agg(
-        F.sum(F.col("pos").isNull().cast("bigint")).alias("n"),
-        F.min(first_row).alias("first_row"),
-        F.min_by("pos", first_row).alias("first_pos"),
+    rows = spread(corpus.select(order, "text"), order)
+    return (
+        rows.select(F.col(order).alias("first_row"), F.explode(tokens("text", lang)).alias("token"))
+        .groupBy("token")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("first_row").alias("first_row"))
     )
 
 
@@ -61,15 +49,30 @@ def vocabulary(
 ) -> DataFrame:
     """token and id: most frequent first, ties by first appearance, ids from 2.
 
-    The cut to ``max_size`` is a distributed top-k, so only that many rows are numbered.
+    The text is tokenized once for the counts. Where tokens tie in count and in the row they
+    first appear in, their place within that row decides; it is looked up only for the tokens that
+    can make the cut, in their first rows (at most ``max_size`` and one row's tokens).
     """
-    rank = (F.desc("n"), F.asc("first_row"), F.asc("first_pos"))
-    top = (
-        token_counts(corpus, lang, order)
-        .filter(F.col("n") >= min_freq)
-        .orderBy(*rank)
-        .limit(max_size or VOCAB_SIZE[lang])
+    size = max_size or VOCAB_SIZE[lang]
+    counted = cut_lineage(token_counts(corpus, lang, order).filter(F.col("n") >= min_freq))
+    last = (
+        counted.orderBy(F.desc("n"), "first_row")
+        .limit(size)
+        .agg(F.min(F.struct("n", (-F.col("first_row")).alias("row"))))
+        .scalar()
     )
+    near = counted.filter(F.struct("n", (-F.col("first_row")).alias("row")) >= last)
+    firsts = near.select(F.col("first_row").alias(order)).distinct()
+    places = (
+        corpus.select(order, "text")
+        .join(F.broadcast(firsts), order, "left_semi")
+        .select(
+            F.col(order).alias("first_row"),
+            F.posexplode(F.array_distinct(tokens("text", lang))).alias("first_pos", "token"),
+        )
+    )
+    rank = (F.desc("n"), F.asc("first_row"), F.asc("first_pos"))
+    top = places.join(F.broadcast(near), ["token", "first_row"]).orderBy(*rank).limit(size)
     numbered = top.select(
         "token", (F.row_number().over(Window.orderBy(*rank)) + UNK_ID).cast("int").alias("id")
     )

@@ -17,7 +17,7 @@ from mailsift.functions.text import (
 )
 from mailsift.functions.verdict import pending_filter, to_tier, version_tag
 from mailsift.operators.allowlist import flag_trusted, override_verdict
-from mailsift.operators.scaling import first_by, is_small, lookup_join
+from mailsift.operators.scaling import first_by, is_small, lookup_join, spread
 from mailsift.schema import PAGE_SIZE, SENDER_CAP, VERSION_KO
 
 
@@ -173,7 +173,7 @@ def stored_content(messages: DataFrame, ids: DataFrame) -> DataFrame:
 
 def model_input(mail: DataFrame) -> DataFrame:
     """Add ``lang`` (from subject and body) and the composed model ``text``."""
-    return mail.withColumn("lang", route_lang("subject", "body")).withColumn(
+    return spread(mail).withColumn("lang", route_lang("subject", "body")).withColumn(
         "text", compose_email("subject", "sender", "body", "attachment")
     )
 

@@ -27,15 +27,17 @@ def is_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
     return df.limit(limit + 1).count() <= limit
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
+def spread(df: DataFrame, key: str | None = None) -> DataFrame:
     """Give heavy per-row work all cores when the scan yields only a few splits.
 
     A table with enough splits passes through without a shuffle.
     """
+    if df.isStreaming:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= 4 * cores:
         return df
-    return df.repartition(cores, key)
+    return df.repartition(cores, key) if key else df.repartition(cores)
 
 
 def computed(df: DataFrame, keep: Sequence[str], **columns: Column) -> DataFrame:

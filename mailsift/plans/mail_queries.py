@@ -9,6 +9,7 @@ from mailsift import schema as S
 from mailsift.functions import text as tx
 from mailsift.functions import verdict as vd
 from mailsift.operators import allowlist, mailbox
+from mailsift.operators.scaling import spread
 from mailsift.plans import fixtures as fx
 from mailsift.plans import sqltext as q
 from mailsift.plans.registry import query
@@ -279,7 +280,7 @@ def report_counts(spark, sf_dir):
   CASE WHEN predicted_label = 'spam' THEN 'spam' ELSE 'other' END AS colour FROM messages""",
 )
 def mailbox_preview(spark, sf_dir):
-    return mailbox.mailbox_rows(messages(spark, sf_dir))
+    return mailbox.mailbox_rows(spread(messages(spark, sf_dir), "id"))
 
 
 # ---- new mail and row changes -------------------------------------------------------------
@@ -417,7 +418,7 @@ _FIELDS = ("subject", "sender", "body", "attachment")
 
 @query("compose_text", fx.with_views(fx.MAIL_SQL) + f"SELECT id, {q.compose_email(*_FIELDS)} AS text FROM mail")
 def compose_text(spark, sf_dir):
-    return fx.mail(spark, sf_dir).select("id", tx.compose_email(*_FIELDS).alias("text"))
+    return spread(fx.mail(spark, sf_dir), "id").select("id", tx.compose_email(*_FIELDS).alias("text"))
 
 
 @query(
@@ -425,7 +426,7 @@ def compose_text(spark, sf_dir):
     fx.with_views(fx.MAIL_SQL) + f"SELECT id, {q.compose_content(*_FIELDS)} AS content FROM mail",
 )
 def compose_content(spark, sf_dir):
-    return fx.mail(spark, sf_dir).select("id", tx.compose_content(*_FIELDS).alias("content"))
+    return spread(fx.mail(spark, sf_dir), "id").select("id", tx.compose_content(*_FIELDS).alias("content"))
 
 
 _LANG = q.lang_of("concat_ws(' ', subject, body)")

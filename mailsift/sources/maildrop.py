@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailsift.functions import mime
-from mailsift.operators.scaling import BROADCAST_ROWS, computed, first_by, lookup_join
+from mailsift.operators.scaling import BROADCAST_ROWS, computed, first_by, lookup_join, spread
 from mailsift.schema import FETCH_SIZE
 
 
@@ -21,7 +21,7 @@ def parse(raw: DataFrame) -> DataFrame:
     """pos and raw to gmail_id, subject, sender, body, attachment and ``reject`` (null when fine)."""
     top = F.col("_m.payload")
     m = (
-        raw.withColumn("_m", mime.parse_message("raw"))
+        spread(raw).withColumn("_m", mime.parse_message("raw"))
         .withColumn("_parts", mime.walk(top))
         .withColumn("_texts", mime.decode_texts(mime.body_candidates(F.col("_parts"), top["body"]["data"])))
         .withColumn("_first", mime.first_text(F.col("_texts")))
