@@ -25,17 +25,18 @@ MAX_LEN = {"ko": KO_MAX_LEN, "en": EN_MAX_LEN}
 VOCAB_SIZE = {"ko": KO_VOCAB_SIZE, "en": EN_VOCAB_SIZE}
 
 
-def token_counts(corpus: DataFrame, lang: str, order: str) -> DataFrame:
+def token_counts(corpus: DataFrame, lang: str, order: str, copies: str | None = None) -> DataFrame:
     """Per token: how often it occurs and the smallest ``order`` value of a row holding it.
 
     Both are plain longs, summed by hash before the shuffle: a token that occurs everywhere
-    costs one row per task.
+    costs one row per task. ``copies`` names a column with how often a row counts.
     """
-    rows = spread(corpus.select(order, "text"), order)
+    times = F.col(copies) if copies else F.lit(1)
+    rows = spread(corpus.select(F.col(order).alias("first_row"), times.cast("bigint").alias("n"), "text"), "first_row")
     return (
-        rows.select(F.col(order).alias("first_row"), F.explode(tokens("text", lang)).alias("token"))
+        rows.select("first_row", "n", F.explode(tokens("text", lang)).alias("token"))
         .groupBy("token")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("first_row").alias("first_row"))
+        .agg(F.sum("n").alias("n"), F.min("first_row").alias("first_row"))
     )
 
 
@@ -46,6 +47,7 @@ def vocabulary(
     min_freq: int = MIN_FREQ,
     max_size: int | None = None,
     specials: bool = False,
+    copies: str | None = None,
 ) -> DataFrame:
     """token and id: most frequent first, ties by first appearance, ids from 2.
 
@@ -54,7 +56,7 @@ def vocabulary(
     can make the cut, in their first rows (at most ``max_size`` and one row's tokens).
     """
     size = max_size or VOCAB_SIZE[lang]
-    counted = cut_lineage(token_counts(corpus, lang, order).filter(F.col("n") >= min_freq))
+    counted = cut_lineage(token_counts(corpus, lang, order, copies).filter(F.col("n") >= min_freq))
     last = (
         counted.orderBy(F.desc("n"), "first_row")
         .limit(size)

@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 
 from mailsift.functions.text import tokens
 from mailsift.functions.verdict import to_binary, to_tier
-from mailsift.operators.corpus import add_feedback, class_weight, feedback_rows, mark_test
+from mailsift.operators.corpus import class_weight, feedback_rows, mark_test
 from mailsift.operators.features import MAX_LEN, vocabulary
 from mailsift.operators.metrics import metrics, metrics_by_lang
 from mailsift.operators.scaling import cut_lineage, spread
+from mailsift.schema import FEEDBACK_COPIES
 
 
 def model_tokens(text: Column | str, lang: str) -> Column:
@@ -49,17 +50,20 @@ class LanguageModel:
 
 
 def fit(train: DataFrame, lang: str, max_iter: int = 30) -> LanguageModel:
-    """Fit on rows with ord, text, y: vocabulary from these rows only, spam rows weighted.
+    """Fit on rows with ord, text, y, copies: vocabulary from these rows only, spam rows weighted.
 
     The vocabulary is bounded by its size limit and is the only data that passes the driver.
     """
     train = cut_lineage(
-        spread(train.select("ord", "text", "y"), "ord").withColumn("_tokens", model_tokens("text", lang))
+        spread(train.select("ord", "text", "y", "copies"), "ord").withColumn("_tokens", model_tokens("text", lang))
     )
-    words = [r["token"] for r in vocabulary(train, lang, "ord").orderBy("id").collect()]
-    weight = class_weight(train).first()["pos_weight"]
+    vocab = vocabulary(train, lang, "ord", copies="copies")
+    words = [r["token"] for r in vocab.orderBy("id").collect()]
+    weight = class_weight(train, F.col("copies")).first()["pos_weight"]
     counts = CountVectorizerModel.from_vocabulary(words, inputCol="_tokens", outputCol="_counts")
-    counted = counts.transform(train).withColumn("_w", F.when(F.col("y") == 1, weight).otherwise(1.0))
+    counted = counts.transform(train).withColumn(
+        "_w", F.col("copies") * F.when(F.col("y") == 1, weight).otherwise(1.0)
+    )
     idf = IDF(inputCol="_counts", outputCol="_features").fit(counted)
     regression = LogisticRegression(
         featuresCol="_features",
@@ -80,22 +84,19 @@ def train_and_evaluate(
     """Split, add feedback to the training side, fit, score the test side.
 
     ``corpus`` has id, label, text, lang, y. Korean is split within language and class, English
-    within class. Returns (model, one-row metrics, training rows, test rows).
+    within class. Feedback counts FEEDBACK_COPIES times, as a weight instead of repeated rows.
+    Returns (model, one-row metrics, training rows, test rows).
     """
     strata = ["lang", "label"] if lang == "ko" else ["y"]
     marked = cut_lineage(mark_test(corpus, strata, "id"))
     test = marked.filter("is_test")
-    feedback = feedback_rows(reports, lang)
-    train = add_feedback(
-        marked.filter(~F.col("is_test")).select("id", "text", "y").withColumn("_side", F.lit(0)),
-        feedback.select("id", "text", "y").withColumn("_side", F.lit(1)),
-    )
-    # Corpus rows come before feedback rows, copies of a report one after another.
-    order = F.col("_side") * F.lit(2**61) + F.col("id") * 8 + F.col("copy")
-    train = cut_lineage(train.select(order.cast("bigint").alias("ord"), "text", "y"))
+    side = marked.filter(~F.col("is_test")).select("text", "y", F.lit(1).alias("copies"))
+    feedback = feedback_rows(reports, lang).select("text", "y", F.lit(FEEDBACK_COPIES).alias("copies"))
+    # Corpus rows come before feedback rows; writing the table fixes the numbers.
+    train = cut_lineage(side.unionByName(feedback).withColumn("ord", F.monotonically_increasing_id()))
     model = fit(train, lang, max_iter)
-    scored = model.score(test)
-    return model, metrics(scored), train.count(), test.count()
+    n_train = train.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+    return model, metrics(model.score(test)), n_train, test.count()
 
 
 def evaluate_by_lang(models: Mapping[str, LanguageModel], test: DataFrame) -> DataFrame:

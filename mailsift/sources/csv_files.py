@@ -26,9 +26,9 @@ def file_encodings(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     Lines are tested as raw bytes, so big files are checked in splits. Line breaks are the same
     byte in both charsets.
     """
-    lines = spark.read.text(list(paths)).select(
-        F.col("_metadata.file_path").alias("path"), F.is_valid_utf8("value").alias("ok")
-    )
+    # The metadata path is URL-encoded, save that a plus sign stays as it is.
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    lines = spark.read.text(list(paths)).select(path.alias("path"), F.is_valid_utf8("value").alias("ok"))
     return lines.groupBy("path").agg(
         F.when(F.bool_and("ok"), "UTF-8").otherwise(KOREAN_CHARSET).alias("encoding")
     )
