@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailsift.functions.text import email_domain, extract_email, strip
-from mailsift.operators.scaling import BROADCAST_ROWS, HashLookup, is_small, lookup_join
+from mailsift.operators.scaling import BROADCAST_ROWS, HashLookup, lookup_join, size_up_to
 
 
 def trust_keys(email: Column) -> Column:
@@ -34,8 +34,9 @@ def flag_trusted(mail: DataFrame, patterns: DataFrame, name: str = "trusted") ->
     senders only, and the verdict joined back by sender with hot senders kept apart.
     """
     patterns = patterns.select("pattern").dropna().distinct()
-    if is_small(patterns):
-        lookup = HashLookup(patterns.withColumn("hit", F.lit(1)), "pattern", "hit", BROADCAST_ROWS)
+    size = size_up_to(patterns)
+    if size <= BROADCAST_ROWS:
+        lookup = HashLookup(patterns.withColumn("hit", F.lit(1)), "pattern", "hit", size)
         keys = trust_keys(extract_email("sender"))
         return (
             lookup.attach(mail.withColumn("_keys", keys), "_allow")

@@ -52,8 +52,8 @@ def vocabulary(
     """token and id: most frequent first, ties by first appearance, ids from 2.
 
     The text is tokenized once for the counts. Where tokens tie in count and in the row they
-    first appear in, their place within that row decides; it is looked up only for the tokens that
-    can make the cut, in their first rows (at most ``max_size`` and one row's tokens).
+    first appear in, their place within that row decides; it is looked up only for the tied
+    tokens that can make the cut, in their first rows (at most ``max_size`` and one row's tokens).
     """
     size = max_size or VOCAB_SIZE[lang]
     counted = cut_lineage(token_counts(corpus, lang, order, copies).filter(F.col("n") >= min_freq))
@@ -64,17 +64,16 @@ def vocabulary(
         .scalar()
     )
     near = counted.filter(F.struct("n", (-F.col("first_row")).alias("row")) >= last)
-    firsts = near.select(F.col("first_row").alias(order)).distinct()
-    places = (
-        corpus.select(order, "text")
-        .join(F.broadcast(firsts), order, "left_semi")
-        .select(
-            F.col(order).alias("first_row"),
-            F.posexplode(F.array_distinct(tokens("text", lang))).alias("first_pos", "token"),
-        )
-    )
+    tie = F.count(F.lit(1)).over(Window.partitionBy("n", "first_row"))
+    tied = near.withColumn("_tie", tie).filter(F.col("_tie") > 1).select("token", "first_row")
+    firsts = tied.select(F.col("first_row").alias(order)).distinct()
+    in_row = spread(corpus.select(order, "text").join(F.broadcast(firsts), order, "left_semi"), order)
+    places = in_row.select(
+        F.col(order).alias("first_row"),
+        F.posexplode(F.array_distinct(tokens("text", lang))).alias("first_pos", "token"),
+    ).join(F.broadcast(tied), ["token", "first_row"], "left_semi")
     rank = (F.desc("n"), F.asc("first_row"), F.asc("first_pos"))
-    top = places.join(F.broadcast(near), ["token", "first_row"]).orderBy(*rank).limit(size)
+    top = near.join(places, ["token", "first_row"], "left").orderBy(*rank).limit(size)
     numbered = top.select(
         "token", (F.row_number().over(Window.orderBy(*rank)) + UNK_ID).cast("int").alias("id")
     )

@@ -22,9 +22,14 @@ BROADCAST_ROWS = 200_000
 HOT_KEYS = 1_000
 
 
+def size_up_to(df: DataFrame, limit: int = BROADCAST_ROWS) -> int:
+    """Row count, or ``limit`` + 1 when there are more; reads no more than it must to tell."""
+    return df.limit(limit + 1).count()
+
+
 def is_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``limit`` rows; reads no more than it must to tell."""
-    return df.limit(limit + 1).count() <= limit
+    """Whether ``df`` has at most ``limit`` rows."""
+    return size_up_to(df, limit) <= limit
 
 
 def spread(df: DataFrame, key: str | None = None) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from mailsift.functions.text import collapse
 from mailsift.operators import augment, mailbox
 from mailsift.operators.features import load_vocabulary, save_vocabulary, vocabulary
-from mailsift.operators.scaling import cut_lineage
+from mailsift.operators.scaling import cut_lineage, spread
 from mailsift.plans import fixtures as fx
 from mailsift.plans import sqltext as q
 from mailsift.plans.mail_queries import MESSAGES_SQL, SQL_TS, TS, messages
@@ -78,7 +78,7 @@ def landed(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(d % 4 == 0, flat).otherwise(tree), F.lit("}"),
     )
     cut = F.substring(raw, 1, F.length(raw) - 7)
-    return fx.mail(spark, sf_dir).select(d.alias("pos"), F.when(d % 11 == 0, cut).otherwise(raw).alias("raw"))
+    return spread(fx.mail(spark, sf_dir), "id").select(d.alias("pos"), F.when(d % 11 == 0, cut).otherwise(raw).alias("raw"))
 
 
 _MIME_SQL = fx.with_views(fx.MAIL_SQL)

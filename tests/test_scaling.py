@@ -63,7 +63,7 @@ def test_allowlist_paths_agree(spark, monkeypatch):
     mail = spark.createDataFrame([(i, s) for i, s in enumerate(senders)], "id int, sender string")
     want = {0: True, 1: True, 2: True, 3: True, 4: False, 5: True, 6: False, 7: False, 8: True, 9: True}
     first = {r["id"]: r["trusted"] for r in allowlist.flag_trusted(mail, patterns).collect()}
-    monkeypatch.setattr(allowlist, "is_small", lambda *a, **k: False)
+    monkeypatch.setattr(allowlist, "BROADCAST_ROWS", 0)
     monkeypatch.setattr(scaling, "is_small", lambda *a, **k: False)
     second = {r["id"]: r["trusted"] for r in allowlist.flag_trusted(mail, patterns).collect()}
     assert first == want
