@@ -140,8 +140,7 @@ def tokens(col: Column | str, lang: str) -> Column:
 def extract_email(sender: Column | str) -> Column:
     """Lower-cased address inside a display string; else the stripped lower string; null is ''."""
     s = _c(sender)
-    found = F.regexp_extract(s, f"({EMAIL})", 1)
-    return F.coalesce(F.lower(F.when(found != "", found).otherwise(strip(s))), F.lit(""))
+    return F.coalesce(F.lower(F.coalesce(F.regexp_substr(s, F.lit(EMAIL)), strip(s))), F.lit(""))
 
 
 def email_domain(email: Column | str) -> Column:

@@ -15,10 +15,9 @@ def trust_keys(email: Column) -> Column:
     An address without '@' has only itself, so a bare word never matches as a domain.
     """
     domain = email_domain(email)
-    labels = F.split(domain, r"\.")
+    dots = F.length(domain) - F.length(F.replace(domain, F.lit("."), F.lit("")))
     suffixes = F.transform(
-        F.sequence(F.lit(1), F.size(labels)),
-        lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."),
+        F.sequence(F.lit(1), dots + 1), lambda n: F.call_function("substring_index", domain, F.lit("."), -n)
     )
     return (
         F.when(email == "", F.array().cast("array<string>"))
@@ -37,11 +36,14 @@ def flag_trusted(mail: DataFrame, patterns: DataFrame, name: str = "trusted") ->
     size = size_up_to(patterns)
     if size <= BROADCAST_ROWS:
         lookup = HashLookup(patterns.withColumn("hit", F.lit(1)), "pattern", "hit", size)
-        keys = trust_keys(extract_email("sender"))
+        # Steps of their own: the address is extracted once, not once per use.
+        keyed = mail.withColumn("_email", extract_email("sender")).withColumn(
+            "_keys", trust_keys(F.col("_email"))
+        )
         return (
-            lookup.attach(mail.withColumn("_keys", keys), "_allow")
+            lookup.attach(keyed, "_allow")
             .withColumn(name, F.exists("_keys", lambda k: lookup.probe(k, "_allow").isNotNull()))
-            .drop("_keys", "_allow")
+            .drop("_email", "_keys", "_allow")
         )
     senders = mail.select("sender").dropna().distinct()
     hits = (

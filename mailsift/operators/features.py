@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from mailsift.functions.text import tokens
-from mailsift.operators.scaling import BROADCAST_ROWS, HashLookup, cut_lineage, spread
+from mailsift.operators.scaling import HashLookup, cut_lineage, lookup_join, spread
 from mailsift.schema import (
     EN_MAX_LEN,
     EN_VOCAB_SIZE,
@@ -22,6 +22,8 @@ from mailsift.schema import (
 )
 
 MAX_LEN = {"ko": KO_MAX_LEN, "en": EN_MAX_LEN}
+# A vocabulary up to this size is looked up in place; about 30 MB per task.
+LOOKUP_ROWS = 1_000_000
 VOCAB_SIZE = {"ko": KO_VOCAB_SIZE, "en": EN_VOCAB_SIZE}
 
 
@@ -92,28 +94,40 @@ def load_vocabulary(spark, path: str) -> DataFrame:
 
 
 def with_token_ids(
-    rows: DataFrame, vocab: DataFrame, lang: str, max_len: int | None = None,
-    text: str = "text", name: str = "ids", vocab_rows: int | None = None,
+    rows: DataFrame, vocab: DataFrame, lang: str, max_len: int | None = None, text: str = "text",
+    name: str = "ids", vocab_rows: int | None = None, key: str | None = None,
 ) -> DataFrame:
     """Add the ids of the first ``max_len`` tokens, unknown tokens as 1; no padding.
 
-    ``vocab`` holds at most ``vocab_rows`` rows (the size it was cut to), so it fits a lookup and
-    the rows are encoded where they are.
+    ``vocab`` holds at most ``vocab_rows`` rows (the size it was cut to). Up to LOOKUP_ROWS the
+    rows are encoded where they are, by a lookup. A larger vocabulary is joined token by token,
+    which needs ``key``, a unique column of ``rows``; frequent tokens are kept out of that shuffle.
     """
     size = vocab_rows or VOCAB_SIZE[lang] + UNK_ID + 1
-    if size > 5 * BROADCAST_ROWS:
-        raise ValueError("a vocabulary beyond a million tokens needs a join, not a lookup")
-    lookup = HashLookup(vocab, "token", "id", size)
     cut = F.slice(tokens(text, lang), 1, max_len or MAX_LEN[lang])
-    return (
-        lookup.attach(rows.withColumn("_tokens", cut), "_vocab")
-        .withColumn(
-            name,
-            F.transform(
-                "_tokens", lambda t: F.coalesce(lookup.probe(t, "_vocab"), F.lit(UNK_ID)).cast("int")
-            ),
+
+    def known(found: Column) -> Column:
+        return F.coalesce(found, F.lit(UNK_ID)).cast("int")
+
+    if size <= LOOKUP_ROWS:
+        lookup = HashLookup(vocab, "token", "id", size)
+        return (
+            lookup.attach(rows.withColumn("_tokens", cut), "_vocab")
+            .withColumn(name, F.transform("_tokens", lambda t: known(lookup.probe(t, "_vocab"))))
+            .drop("_tokens", "_vocab")
         )
-        .drop("_tokens", "_vocab")
+    if key is None:
+        raise ValueError("a vocabulary of this size needs the name of a unique key column")
+    each = rows.select(key, F.posexplode(cut).alias("_pos", "token"))
+    found = lookup_join(each, vocab.select("token", F.col("id").alias("_id")), ["token"])
+    # At most max_len entries per row come together here.
+    ids = found.groupBy(key).agg(
+        F.transform(
+            F.sort_array(F.collect_list(F.struct("_pos", known(F.col("_id")).alias("i")))), lambda x: x["i"]
+        ).alias(name)
+    )
+    return rows.join(ids, key, "left").withColumn(
+        name, F.coalesce(name, F.array().cast("array<int>"))
     )
 
 
@@ -124,9 +138,10 @@ def pad(ids: Column | str, max_len: int) -> Column:
 
 
 def encode(
-    rows: DataFrame, vocab: DataFrame, lang: str, max_len: int | None = None,
-    text: str = "text", name: str = "ids", vocab_rows: int | None = None,
+    rows: DataFrame, vocab: DataFrame, lang: str, max_len: int | None = None, text: str = "text",
+    name: str = "ids", vocab_rows: int | None = None, key: str | None = None,
 ) -> DataFrame:
     """Fixed-length id arrays: cut at ``max_len``, unknown 1, padded with 0."""
     n = max_len or MAX_LEN[lang]
-    return with_token_ids(rows, vocab, lang, n, text, name, vocab_rows).withColumn(name, pad(name, n))
+    found = with_token_ids(rows, vocab, lang, n, text, name, vocab_rows, key)
+    return found.withColumn(name, pad(name, n))

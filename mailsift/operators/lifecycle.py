@@ -42,7 +42,8 @@ def latest_runs(runs: DataFrame) -> DataFrame:
 
 def latest_promoted(runs: DataFrame) -> DataFrame:
     """Per language the F1 of the latest deployed run."""
-    rows = runs.withColumn("lang", _lang_of_version()).filter(F.col("lang").isNotNull())
+    rows = runs.filter(F.col("model_version").isin(*RUN_VERSION.values()))
+    rows = rows.withColumn("lang", _lang_of_version())
     return first_by(rows, ["lang"], _latest_first()).select(
         "lang", F.col("f1_score").alias("old_f1"), "trained_at"
     )
@@ -50,11 +51,12 @@ def latest_promoted(runs: DataFrame) -> DataFrame:
 
 def latest_attempts(runs: DataFrame) -> DataFrame:
     """Per language the time of the latest attempt, deployed or skipped."""
+    versions = [v + suffix for v in RUN_VERSION.values() for suffix in ("", SKIPPED_SUFFIX)]
     base = F.regexp_replace("model_version", SKIPPED_SUFFIX + "$", "")
     return (
-        runs.withColumn("model_version", base)
+        runs.filter(F.col("model_version").isin(versions))  # reaches the scan
+        .withColumn("model_version", base)
         .withColumn("lang", _lang_of_version())
-        .filter(F.col("lang").isNotNull())
         .groupBy("lang")
         .agg(F.max("trained_at").alias("since"))
     )

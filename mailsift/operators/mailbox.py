@@ -242,6 +242,9 @@ def apply_actions(mailbox: DataFrame, actions: DataFrame) -> DataFrame:
     )
     removed = F.when(a == "not_spam", F.array(F.lit("SPAM"))).otherwise(F.array(F.lit("INBOX")))
     boxes = mailbox.filter(F.col("gmail_id").isNotNull()).withColumn("_found", F.lit(True))
+    ids = actions.select("gmail_id")
+    if is_small(ids):  # few actions: the mailbox is scanned, not shuffled
+        boxes = boxes.join(F.broadcast(ids), "gmail_id", "left_semi")
     ok = F.col("_found").isNotNull() & added.isNotNull()
     return lookup_join(actions, boxes, ["gmail_id"]).select(
         "gmail_id",

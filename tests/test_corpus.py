@@ -152,6 +152,17 @@ def test_encode(spark):
     assert got == [[2, 0, 0], [2, 3, 4], [1, 0, 0], [0, 0, 0]]
 
 
+def test_encode_with_a_vocabulary_too_large_to_look_up(spark, monkeypatch):
+    words = spark.createDataFrame([("a", 2), ("b", 3)], "token string, id int")
+    rows = spark.createDataFrame([(0, "a b c a"), (1, "a a a a a a"), (2, "")], "id long, text string")
+    want = sorted(map(tuple, features.encode(rows, words, "en", 4).select("id", "ids").collect()))
+    monkeypatch.setattr(features, "LOOKUP_ROWS", 1)
+    got = features.encode(rows, words, "en", 4, key="id").select("id", "ids").collect()
+    assert sorted(map(tuple, got)) == want == [(0, [2, 3, 1, 2]), (1, [2, 2, 2, 2]), (2, [0, 0, 0, 0])]
+    with pytest.raises(ValueError):
+        features.encode(rows, words, "en", 4)
+
+
 def test_vocabulary_round_trip(spark, tmp_path):
     words = spark.createDataFrame([("a", 2), ("b", 3)], "token string, id int")
     features.save_vocabulary(words, str(tmp_path / "v"))
