@@ -6,6 +6,8 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+from pyspark.sql import SparkSession  # noqa: E402
+
 from mailsift.session import local_session  # noqa: E402
 from tests.oracle import compare, connect  # noqa: E402
 
@@ -15,7 +17,11 @@ def main(argv):
 
     sf_dir = argv[0] if argv else "/root/testdata/sf0.01"
     names = argv[1:] or list(entry.queries())
-    spark = local_session(8)
+    if os.environ.get("PLAIN_SESSION"):  # the settings of a foreign session
+        spark = SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false").getOrCreate()
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    else:
+        spark = local_session(8)
     con = connect(sf_dir)
     sql = entry.oracle_sql()
     bad = 0
