@@ -29,7 +29,9 @@ def arriving(rows: DataFrame, spark: SparkSession, what: str, repeat: bool = Fal
             again = rows.filter((F.col("created_at") < low) & (F.col("id") % 10 == 1))
             part = part.unionByName(again.filter(F.col("created_at") >= bounds[i - 1]))
         part.write.mode("append").parquet(path)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    files = len(spark.read.parquet(path).inputFiles())
+    per_batch = max(files // SLICES, 1)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", per_batch).parquet(path)
 
 
 def _finish(stream) -> None:
