@@ -29,6 +29,7 @@ def scored_batch(fetched: DataFrame, stored: DataFrame, patterns: DataFrame, sco
 def mailbox_pass(store: Store, fetched: DataFrame, models: Mapping[str, LanguageModel]) -> tuple[int, int]:
     """Score and store new mail; returns (saved, fetched)."""
     patterns = current_list(store.read("trust_log"))
+    fetched = cut_lineage(fetched)  # parsed once, then read for its ids, its rows and its count
     fresh = cut_lineage(mailbox.model_input(mailbox.new_mail(fetched, store.read("messages"))))
     rows = cut_lineage(mailbox.fetched_messages(score_routed(fresh, models), patterns))
     save_predictions(store, rows)

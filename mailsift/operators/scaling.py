@@ -18,6 +18,8 @@ from mailsift.session import shared_dir
 
 # Rows of short columns (ids, patterns, tokens) allowed on a broadcast side.
 BROADCAST_ROWS = 200_000
+# Files below which a table may yield fewer splits than there are cores.
+FEW_FILES = 16
 # Keys looked at when a big join is split into its hot and its even part.
 HOT_KEYS = 1_000
 
@@ -33,15 +35,14 @@ def is_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
 
 
 def spread(df: DataFrame, key: str | None = None) -> DataFrame:
-    """Give heavy per-row work all cores when the scan yields only a few splits.
+    """Give heavy per-row work all cores when the rows come from only a few files.
 
-    A table with enough splits passes through without a shuffle.
+    Tables of FEW_FILES or more pass through unshuffled. The file list is read off the plan;
+    nothing is run to find out.
     """
-    if df.isStreaming:
+    if df.isStreaming or not 0 < len(df.inputFiles()) < FEW_FILES:
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= 4 * cores:
-        return df
     return df.repartition(cores, key) if key else df.repartition(cores)
 
 
@@ -124,21 +125,17 @@ class HashLookup:
     def __init__(self, table: DataFrame, key: str, value: str, max_rows: int):
         spark = table.sparkSession
         self.buckets = 1 << max(4, min(16, (max_rows // 4).bit_length()))
-        pairs = table.select(F.col(key).alias("k"), F.col(value).alias("v"))
-        filled = pairs.groupBy(self._bucket(F.col("k")).alias("b")).agg(
-            F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("m")
+        entries = table.select(
+            self._bucket(F.col(key)).alias("b"), F.struct(F.col(key).alias("k"), F.col(value).alias("v")).alias("e")
         )
-        self._table = (
-            spark.range(self.buckets)
-            .select(F.col("id").cast("int").alias("b"))
-            .join(filled, "b", "left")
-            .agg(
-                F.transform(
-                    F.array_sort(F.collect_list(F.struct("b", "m")), lambda x, y: x["b"] - y["b"]),
-                    lambda x: x["m"],
-                ).alias("t")
-            )
+        every = spark.range(0, self.buckets, 1, 1).select(F.col("id").cast("int").alias("b"))
+        maps = (
+            entries.unionByName(every, allowMissingColumns=True)
+            .groupBy("b")
+            .agg(F.map_from_entries(F.collect_list("e")).alias("m"))
         )
+        ordered = F.array_sort(F.collect_list(F.struct("b", "m")), lambda x, y: x["b"] - y["b"])
+        self._table = maps.agg(F.transform(ordered, lambda x: x["m"]).alias("t"))
 
     def _bucket(self, key: Column) -> Column:
         return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
