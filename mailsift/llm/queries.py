@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailsift.llm import bpe, packing, token_counts
+from mailsift.llm import bpe, imatch, outliers, packing, token_counts
 from mailsift.llm.frames import keyed_texts, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,9 +41,23 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document, and of it with half its text replaced by the next one's."""
+    return imatch.compare_with_edits(table(spark, sf_dir, "documents"))
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict for every document."""
+    return outliers.judged(table(spark, sf_dir, "documents")).select(
+        "row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance"
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op6_token_counts": op6_token_counts,
     "op7_bpe": op7_bpe,
+    "op8_document_fingerprints": op8_document_fingerprints,
+    "op10_quality_rules": op10_quality_rules,
 }
 SQL: dict[str, str] = {}
