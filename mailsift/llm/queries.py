@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailsift.llm import bpe, imatch, outliers, packing, token_counts
+from mailsift.llm import bpe, imatch, line_quality, outliers, packing, token_counts, toxicity
 from mailsift.llm.frames import keyed_texts, table
+from mailsift.llm.labelled import remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -20,6 +21,29 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), VOCABULARY, length=2048, end_id=0)
 
 
+def _judged(scores: DataFrame, modulus: int, held: int, least: float) -> DataFrame:
+    """Scores with the contract's split and decision."""
+    held_out = (remainder(F.col("doc_id"), modulus) == held).alias("held_out")
+    return scores.select("doc_id", held_out, "score", (F.col("score") >= least).cast("int").alias("predicted"))
+
+
+def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.ToxicityModel:
+    return toxicity.fit(docs, table(spark, sf_dir, "labels"), remainder(F.col("doc_id"), 3) != 1)
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document."""
+    docs = table(spark, sf_dir, "documents")
+    return _judged(toxicity.score_texts(docs, toxicity_model(spark, docs, sf_dir)), 3, 1, toxicity.REJECT_FROM)
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document."""
+    docs = table(spark, sf_dir, "documents")
+    model = line_quality.fit(docs, table(spark, sf_dir, "labels"), remainder(F.col("doc_id"), 5) != 0)
+    return _judged(line_quality.score_texts(docs, model), 5, 0, 0.3)
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of every document before and after two edits drawn from its own text.
 
@@ -55,6 +79,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_toxicity": op2_toxicity,
+    "op4_quality_classifier": op4_quality_classifier,
     "op6_token_counts": op6_token_counts,
     "op7_bpe": op7_bpe,
     "op8_document_fingerprints": op8_document_fingerprints,
