@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailsift.llm import bpe, imatch, line_quality, outliers, packing, token_counts, toxicity
+from mailsift.llm import bpe, chunks, imatch, line_quality, outliers, packing, sharding, token_counts, toxicity
 from mailsift.llm.frames import keyed_texts, table
 from mailsift.llm.labelled import remainder
 
@@ -37,6 +37,14 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(toxicity.score_texts(docs, toxicity_model(spark, docs, sf_dir)), 3, 1, toxicity.REJECT_FROM)
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in one of 16 shards with numbers of rows at most one apart."""
+    placed = sharding.shard_documents(table(spark, sf_dir, "documents"), shards=16)
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document."""
     docs = table(spark, sf_dir, "documents")
@@ -44,6 +52,13 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(line_quality.score_texts(docs, model), 5, 0, 0.3)
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the passages that an earlier one holds."""
+    found = chunks.deduplicated(table(spark, sf_dir, "documents"))
+    cut = F.aggregate("removed", F.lit(0).cast("long"), lambda a, x: a + x["length"])
+    return found.select("row.doc_id", "row.text", "n_chunks", "n_duplicate_chunks", cut.alias("n_removed_chars"), "removed")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of every document before and after two edits drawn from its own text.
 
@@ -80,7 +95,9 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_toxicity": op2_toxicity,
+    "op3_sharding": op3_sharding,
     "op4_quality_classifier": op4_quality_classifier,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_token_counts": op6_token_counts,
     "op7_bpe": op7_bpe,
     "op8_document_fingerprints": op8_document_fingerprints,
