@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from mailsift.operators.scaling import cut_lineage
+from mailsift.operators.scaling import BROADCAST_ROWS, cut_lineage
 
 BLANKS = " \t\n\x0b\x0c\r"
 BLANK_RUN = r"[\x20\x09-\x0D]+"
@@ -137,10 +137,14 @@ def _estimates(rows: DataFrame) -> DataFrame:
     return out.select("g", "n", *(f"m{i}" for i in range(4)), *(f"l{i}{j}" for i, j in PAIRS))
 
 
-def _with_distance(rows: DataFrame, estimates: DataFrame) -> DataFrame:
+def _by_group(rows: DataFrame, groups: DataFrame, small: bool, how: str = "inner", on: tuple = ("g",)) -> DataFrame:
+    """Join a table with one row per group: broadcast if the groups were counted and are few."""
+    return rows.join(F.broadcast(groups) if small else groups, list(on), how)
+
+
+def _with_distance(rows: DataFrame, estimates: DataFrame, small: bool) -> DataFrame:
     """Squared Mahalanobis distance ``d`` by forward substitution."""
-    # One row per language and source; Spark broadcasts it while it is small, else splits hot groups.
-    out = rows.join(estimates, "g", "left")
+    out = _by_group(rows, estimates, small, "left")
     for i in range(4):
         z = F.col(X[i]) - F.col(f"m{i}")
         for k in range(i):
@@ -150,7 +154,7 @@ def _with_distance(rows: DataFrame, estimates: DataFrame) -> DataFrame:
     return out.withColumn("d", distance).select(*rows.columns, "d")
 
 
-def _nearest(rows: DataFrame) -> DataFrame:
+def _nearest(rows: DataFrame, small: bool) -> DataFrame:
     """The ``HALF`` of each group with the least ``d`` (all of the distance class that holds the cut)."""
     d_class = F.floor(F.log2(F.col("d") + 1e-9) * CLASSES_PER_DOUBLING).cast("int")
     classed = rows.withColumn("c", d_class)
@@ -158,10 +162,10 @@ def _nearest(rows: DataFrame) -> DataFrame:
     w = Window.partitionBy("g")
     run = counts.select("g", "c", "k", F.sum("k").over(w.orderBy("c")).alias("cum"), F.sum("k").over(w).alias("n"))
     edge = run.filter(F.col("cum") >= HALF * F.col("n")).groupBy("g").agg(F.min("c").alias("edge"))
-    return classed.join(edge, "g").filter(F.col("c") <= F.col("edge")).drop("c", "edge")
+    return _by_group(classed, edge, small).filter(F.col("c") <= F.col("edge")).drop("c", "edge")
 
 
-def robust_estimates(rows: DataFrame) -> DataFrame:
+def robust_estimates(rows: DataFrame, small: bool) -> DataFrame:
     """Estimates by ``g`` after ``STEPS`` concentration steps.
 
     They start from the rows without symbols and repeated lines where these are half of a group or
@@ -170,10 +174,10 @@ def robust_estimates(rows: DataFrame) -> DataFrame:
     clean = rows.filter((F.col("x2") == 0) & (F.col("x3") == 0))
     start = _estimates(rows).join(_estimates(clean).select("g", F.col("n").alias("n_clean")), "g", "left")
     use = start.filter(2 * F.coalesce("n_clean", F.lit(0)) >= F.col("n")).select("g", F.lit(True).alias("use"))
-    chosen = rows.join(use, "g", "left").filter(F.col("use").isNull() | ((F.col("x2") == 0) & (F.col("x3") == 0)))
+    chosen = _by_group(rows, use, small, "left").filter(F.col("use").isNull() | ((F.col("x2") == 0) & (F.col("x3") == 0)))
     estimates = cut_lineage(_estimates(chosen.drop("use")))
     for _ in range(STEPS):
-        estimates = cut_lineage(_estimates(_nearest(_with_distance(rows, estimates))))
+        estimates = cut_lineage(_estimates(_nearest(_with_distance(rows, estimates, small), small)))
     return estimates
 
 
@@ -205,12 +209,13 @@ def judged(
         .otherwise(F.lit("all"))
     )
     levels = cut_lineage(sizes.select("l", "s", level.alias("g")))
+    small = levels.count() <= BROADCAST_ROWS
     used = levels.select("g").distinct()
     every = rows.select(F.explode(F.array("s", "l", F.lit("all"))).alias("g"), *X)
-    estimates = robust_estimates(cut_lineage(every.join(used, "g", "left_semi")))
+    estimates = robust_estimates(cut_lineage(_by_group(every, used, small, "left_semi")), small)
     enough = estimates.filter(F.col("n") >= HALF * MIN_ROWS).drop("n")
     full = counts.withColumns({"s": by_source, "l": by_lang, **vectors()})
-    measured = _with_distance(full.join(levels, ["l", "s"], "left"), enough)
+    measured = _with_distance(_by_group(full, levels, small, "left", ("l", "s")), enough, small)
     failed = base_failed()
     kept = ~failed & F.coalesce(F.col("d") <= CUTOFF, F.lit(True))
     return measured.select(
