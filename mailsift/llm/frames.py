@@ -20,7 +20,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def keyed_texts(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Key and text only, under plain names; a null text is an empty one."""
-    return df.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    # No alias for the usual name: two uses of the frame then have the same plan, and share exchanges.
+    doc_id = F.col("doc_id") if key == "doc_id" else F.col(key).alias("doc_id")
+    return df.select(doc_id, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
 
 def struct_of(ddl: str) -> StructType:

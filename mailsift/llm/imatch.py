@@ -25,7 +25,7 @@ from mailsift.operators.scaling import HashLookup, cut_lineage
 
 # Band of the share of documents a term stands in: idf between ln 10 and ln 200.
 LOW, HIGH = 0.005, 0.10
-# One term in so many belongs to a subset of each density, and the subsets of a density.
+# One term in so many belongs to a subset of each density; 16 subsets of each, one bit of a word each.
 DENSITIES = (4, 16, 64, 256)
 SUBSETS = 16
 NONE = "-" * 8
@@ -41,33 +41,56 @@ def terms(text: Column) -> Column:
 
 
 def lexicon(documents: DataFrame, text: str = "text", low: float = LOW, high: float = HIGH) -> DataFrame:
-    """Terms in the band, with a hash each; counts cover all documents."""
+    """Terms in the band, each with its hash and its subsets; counts cover all documents."""
     texts = documents.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     n = texts.count()
     counts = texts.select(F.explode(terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     banded = cut_lineage(counts.filter((F.col("df") >= low * n) & (F.col("df") <= high * n)))
     while banded.filter(F.col("df") >= low * n).count() > LEXICON_ROWS:
         low *= 2
-    return banded.filter(F.col("df") >= low * n).select("term", F.xxhash64("term").alias("h"))
+    return banded.filter(F.col("df") >= low * n).select(
+        "term", F.struct(F.xxhash64("term").alias("h"), _subsets(F.col("term")).alias("mask")).alias("entry")
+    )
 
 
-def _slots(hashes: Column) -> Column:
-    """Hex hash of each subset's share of the sorted term hashes, NONE where it holds none of them."""
+def _subsets(term: Column) -> Column:
+    """The subsets a term belongs to, as 64 bits: 16 for each density.
 
-    def slot(k: int, density: int) -> Column:
-        # Subset k of a density: terms whose k-th random digit is nought.
-        inside = F.filter(hashes, lambda h: F.pmod(F.xxhash64(F.lit(k), h), F.lit(density)) == 0)
-        digest = F.lpad(F.lower(F.hex(F.xxhash64(F.lit(k), inside).bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0")
+    A bit that is set in two random words stands for one term in four, in four words for one in 16,
+    and so on.
+    """
+    words = [F.xxhash64(F.lit(i), term) for i in range(2 * len(DENSITIES))]
+    mask = words[0].bitwiseAND(words[1])
+    denser = 0
+    for d in range(1, len(DENSITIES)):
+        denser |= 0xFFFF << (16 * (d - 1))
+        both = words[2 * d].bitwiseAND(words[2 * d + 1])
+        mask = mask.bitwiseAND(both.bitwiseOR(F.lit(denser)))
+    return mask
+
+
+def _slots(found: Column) -> Column:
+    """Hex hash of each subset's share of the sorted lexicon terms, NONE where it holds none of them."""
+
+    def slot(k: int, entries: Column) -> Column:
+        inside = F.filter(entries, lambda e: F.shiftrightunsigned(e["mask"], k).bitwiseAND(F.lit(1)) == 1)
+        hashes = F.transform(inside, lambda e: e["h"])
+        digest = F.lpad(F.lower(F.hex(F.xxhash64(F.lit(k), hashes).bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0")
         return F.when(F.size(inside) == 0, F.lit(NONE)).otherwise(digest)
 
-    return F.concat(*[slot(d * SUBSETS + k, m) for d, m in enumerate(DENSITIES) for k in range(SUBSETS)])
+    def density(d: int) -> Column:
+        # Few terms are in any sparse subset; look through these only.
+        any_bit = F.filter(found, lambda e: F.shiftrightunsigned(e["mask"], 16 * d).bitwiseAND(F.lit(0xFFFF)) != 0)
+        return bind(any_bit, lambda x: F.concat(*[slot(16 * d + k, x) for k in range(SUBSETS)]))
+
+    return F.concat(*map(density, range(len(DENSITIES))))
 
 
 class Fingerprinter:
     """Turns a text column into fingerprints by one lexicon: a narrow projection, no join or shuffle."""
 
     def __init__(self, words: DataFrame):
-        self.lookup = HashLookup(words, "term", "h", max(words.count(), 1))
+        self.lookup = HashLookup(words, "term", "entry", max(words.count(), 1))
 
     def attach(self, df: DataFrame) -> DataFrame:
         return self.lookup.attach(df, "_lexicon")
@@ -125,24 +148,28 @@ def half_replaced(texts: DataFrame) -> DataFrame:
     ``texts`` has doc_id and text. Of the next id's rows, if it is repeated, the one with the least
     beginning counts. Rows without an id have no next document and lose the half.
     """
-    sized = texts.withColumn("n_chars", F.char_length("text").cast("long"))
-    ids = sized.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
-        F.max("n_chars").alias("n"), F.count(F.lit(1)).alias("rows")
+    n_chars = F.char_length("text").cast("long")
+    half = F.floor(n_chars / 2).cast("int")
+    head = F.substr(F.col("text"), F.lit(1), n_chars.cast("int") - half)
+    # The same rows on both sides of the join by id, so that Spark shuffles the texts once.
+    known = texts.filter(F.col("doc_id").isNotNull())
+    ids = cut_lineage(known.groupBy("doc_id").agg(F.max(n_chars).alias("n"), F.count(F.lit(1)).alias("rows")))
+    need = next_ids(ids).join(ids, "doc_id").select(
+        F.col("doc_id").alias("for_id"), "next_id", F.floor(F.col("n") / 2).cast("int").alias("half")
     )
-    ids = cut_lineage(ids)
-    after = next_ids(ids)
-    need = after.join(ids, "doc_id").select(F.col("doc_id").alias("for_id"), "next_id", F.floor(F.col("n") / 2).cast("int").alias("half"))
+    need = cut_lineage(need)
     start = F.substr(F.col("text"), F.lit(1), F.col("half")).alias("start")
-    starts = texts.join(need, texts["doc_id"] == need["next_id"]).select("for_id", start)
+    starts = known.join(need, known["doc_id"] == need["next_id"]).select("for_id", "next_id", start)
     if ids.filter("rows > 1").limit(1).count():
-        starts = starts.groupBy("for_id").agg(F.min("start").alias("start"))
-    half = F.floor(F.col("n_chars") / 2).cast("int")
-    head = F.substr(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - half)
-    edited = F.concat(head, F.coalesce(F.substr(F.col("start"), F.lit(1), half), F.lit("")))
-    joined = sized.join(starts, sized["doc_id"] == starts["for_id"], "left").join(
-        after.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"), "left"
+        starts = starts.groupBy("for_id", "next_id").agg(F.min("start").alias("start"))
+    joined = known.join(starts, known["doc_id"] == starts["for_id"], "left").select(
+        "doc_id", "text", n_chars.alias("n_chars"), "next_id",
+        F.concat(head, F.coalesce(F.substr(F.col("start"), F.lit(1), half), F.lit(""))).alias("edited"),
+    )
+    unknown = texts.filter(F.col("doc_id").isNull()).select(
+        "doc_id", "text", n_chars.alias("n_chars"), F.col("doc_id").alias("next_id"), head.alias("edited")
     )
-    return joined.select("doc_id", "text", "n_chars", "next_id", edited.alias("edited"))
+    return joined.unionByName(unknown)
 
 
 def compare_with_edits(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
