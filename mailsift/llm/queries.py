@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailsift.llm import bpe, chunks, imatch, line_quality, outliers, packing, sharding, token_counts, toxicity
+from mailsift.llm import bpe, chunks, imatch, line_quality, outliers, packing, sharding, shingle_join, token_counts, toxicity
 from mailsift.llm.frames import keyed_texts, table
 from mailsift.llm.labelled import remainder
 
@@ -85,6 +85,38 @@ def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.compare_with_edits(table(spark, sf_dir, "documents"))
 
 
+def op9_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose four-word shingle sets are alike by 85 % or more."""
+    return shingle_join.linked_components(table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
+OP9_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x20\\x09-\\x0D]+') AS ws
+  FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i : i + 3], ' ') AS g
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, least(len(ws), 1)) + 1)) AS i FROM w)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), e AS (
+  SELECT a.doc_id AS x, b.doc_id AS y
+  FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id
+  JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, na.n, nb.n
+  HAVING 100 * count(*) >= 85 * (na.n + nb.n - count(*))
+), r AS (
+  SELECT doc_id, doc_id AS c FROM documents
+  UNION
+  SELECT e.y, r.c FROM r JOIN e ON e.x = r.doc_id
+)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.c AS component_id
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id
+JOIN (SELECT doc_id, min(c) AS c FROM r GROUP BY doc_id) m ON m.doc_id = d.doc_id
+"""
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict for every document."""
     return outliers.judged(table(spark, sf_dir, "documents")).select(
@@ -101,6 +133,7 @@ QUERIES: dict[str, Query] = {
     "op6_token_counts": op6_token_counts,
     "op7_bpe": op7_bpe,
     "op8_document_fingerprints": op8_document_fingerprints,
+    "op9_shingle_join": op9_shingle_join,
     "op10_quality_rules": op10_quality_rules,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op9_shingle_join": OP9_SQL.strip()}
