@@ -28,7 +28,8 @@ LOW, HIGH = 0.005, 0.10
 # One term in so many belongs to a subset of each density; 16 subsets of each, one bit of a word each.
 DENSITIES = (4, 16, 64, 256)
 SUBSETS = 16
-NONE = "-" * 8
+# What stands for a subset that holds none of a text's terms.
+NONE, NO_DIGITS = -1, "-" * 8
 # A density with fewer filled slots than this says little; its agreement counts over so many.
 LEAST_SLOTS = 4
 LEXICON_ROWS = 200_000
@@ -70,18 +71,17 @@ def _subsets(term: Column) -> Column:
 
 
 def _slots(found: Column) -> Column:
-    """Hex hash of each subset's share of the sorted lexicon terms, NONE where it holds none of them."""
+    """32-bit hash of each subset's share of the sorted lexicon terms, NONE where it holds none of them."""
 
     def slot(k: int, entries: Column) -> Column:
         inside = F.filter(entries, lambda e: F.shiftrightunsigned(e["mask"], k).bitwiseAND(F.lit(1)) == 1)
-        hashes = F.transform(inside, lambda e: e["h"])
-        digest = F.lpad(F.lower(F.hex(F.xxhash64(F.lit(k), hashes).bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0")
-        return F.when(F.size(inside) == 0, F.lit(NONE)).otherwise(digest)
+        digest = F.xxhash64(F.lit(k), F.transform(inside, lambda e: e["h"])).bitwiseAND(F.lit(0xFFFFFFFF))
+        return F.when(F.size(inside) == 0, F.lit(NONE).cast("long")).otherwise(digest)
 
     def density(d: int) -> Column:
         # Few terms are in any sparse subset; look through these only.
         any_bit = F.filter(found, lambda e: F.shiftrightunsigned(e["mask"], 16 * d).bitwiseAND(F.lit(0xFFFF)) != 0)
-        return bind(any_bit, lambda x: F.concat(*[slot(16 * d + k, x) for k in range(SUBSETS)]))
+        return bind(any_bit, lambda x: F.array(*[slot(16 * d + k, x) for k in range(SUBSETS)]))
 
     return F.concat(*map(density, range(len(DENSITIES))))
 
@@ -96,35 +96,40 @@ class Fingerprinter:
         return self.lookup.attach(df, "_lexicon")
 
     def column(self, text: Column) -> Column:
-        """Fingerprint of ``text`` in a frame made by ``attach``."""
+        """Fingerprint of ``text`` in a frame made by ``attach``: an array of slots."""
 
         def of_terms(t: Column) -> Column:
             known = F.filter(F.transform(t, lambda x: self.lookup.probe(x, "_lexicon")), lambda h: h.isNotNull())
             whole = F.xxhash64(F.sort_array(t)).bitwiseAND(F.lit(0xFFFFFFFF))
-            alone = F.repeat(F.lpad(F.lower(F.hex(whole)), 8, "0"), len(DENSITIES) * SUBSETS)
+            alone = F.array_repeat(whole, len(DENSITIES) * SUBSETS)
             return bind(F.sort_array(known), lambda h: F.when(F.size(h) > 0, _slots(h)).otherwise(alone))
 
         return bind(terms(text), of_terms)
 
 
+def digits(slots: Column) -> Column:
+    """A fingerprint as one string, eight hex digits a slot."""
+    one = lambda x: F.when(x == NONE, F.lit(NO_DIGITS)).otherwise(F.lpad(F.lower(F.hex(x)), 8, "0"))
+    return F.array_join(F.transform(slots, one), "")
+
+
 def likeness(a: Column, b: Column) -> Column:
     """0 to 1: the best agreement of two fingerprints over the densities; equal ones have 1.
 
     For a density, slots that are filled and equal against slots filled in either.
     """
-    ratios = []
-    for d in range(len(DENSITIES)):
-        places = F.sequence(F.lit(1 + 8 * SUBSETS * d), F.lit(1 + 8 * (SUBSETS * (d + 1) - 1)), F.lit(8))
 
-        def pair(p: Column) -> Column:
-            x, y = F.substr(a, p, F.lit(8)), F.substr(b, p, F.lit(8))
-            return F.struct((x == y).alias("same"), (x == NONE).alias("no_x"), (y == NONE).alias("no_y"))
+    def both(x: Column, y: Column) -> Column:
+        # Two counts in one number: equal and filled in the upper half, filled in either in the lower.
+        either = F.when((x != NONE) | (y != NONE), F.lit(1)).otherwise(F.lit(0))
+        return F.when((x == y) & (x != NONE), F.lit((1 << 16) + 1)).otherwise(either)
+
+    def ratio(pairs: Column, d: int) -> Column:
+        total = F.aggregate(F.slice(pairs, 1 + SUBSETS * d, SUBSETS), F.lit(0), lambda s, x: s + x)
+        return bind(total, lambda t: F.shiftright(t, 16) / F.greatest(t.bitwiseAND(F.lit(0xFFFF)), F.lit(LEAST_SLOTS)))
 
-        slots = F.transform(places, pair)
-        equal = F.size(F.filter(slots, lambda s: s["same"] & ~s["no_x"]))
-        filled = F.size(F.filter(slots, lambda s: ~(s["no_x"] & s["no_y"])))
-        ratios.append(equal / F.greatest(filled, F.lit(LEAST_SLOTS)))
-    return F.when(a == b, F.lit(1.0)).otherwise(F.greatest(*ratios))
+    best = bind(F.zip_with(a, b, both), lambda p: F.greatest(*[ratio(p, d) for d in range(len(DENSITIES))]))
+    return F.when(a == b, F.lit(1.0)).otherwise(best)
 
 
 def next_ids(ids: DataFrame) -> DataFrame:
@@ -186,9 +191,11 @@ def compare_with_edits(documents: DataFrame, key: str = "doc_id", text: str = "t
         prints.column(F.col("edited")).alias("edited_fingerprint"),
     )
     rows = cut_lineage(rows)
-    nexts = rows.groupBy(F.col("doc_id").alias("_id")).agg(F.min("fingerprint").alias("next_fingerprint"))
+    nexts = rows.groupBy(F.col("doc_id").alias("_id")).agg(F.min("fingerprint").alias("after"))
     return rows.join(nexts, rows["next_id"] == nexts["_id"], "left").select(
-        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+        "doc_id", "n_chars", "edited_sha256",
+        digits(F.col("fingerprint")).alias("fingerprint"),
+        digits(F.col("edited_fingerprint")).alias("edited_fingerprint"),
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
-        F.coalesce(likeness(F.col("fingerprint"), F.col("next_fingerprint")), F.lit(0.0)).alias("near_next"),
+        F.coalesce(likeness(F.col("fingerprint"), F.col("after")), F.lit(0.0)).alias("near_next"),
     )

@@ -118,7 +118,7 @@ def test_lexicon_and_slots(spark):
     assert {r.term for r in words.collect()} == {f"w{k}" for k in range(20)}
     made = imatch.Fingerprinter(words)
     rows = made.attach(documents(spark, texts)).select("doc_id", made.column(imatch.F.col("text")).alias("fingerprint"))
-    prints = {r.doc_id: r.fingerprint for r in rows.collect()}
+    prints = {r.doc_id: tuple(r.fingerprint) for r in rows.collect()}
     assert all(prints[i] == prints[i % 20] for i in range(400)) and len(set(prints.values())) > 15
 
 
