@@ -14,7 +14,9 @@ differences were too large. So no pair is lost.
 Candidates are verified by the texts themselves, first against the partner a set shares most segments
 with, then against the first set of each other component it meets, at last every remaining pair of
 different components that share a segment. Sets already in one component need no further check.
-Equal sets are one representative throughout.
+Equal sets are one representative throughout. Where many sets of different components share one
+segment, the last step makes no rows of their pairs: the sets such segments tie together are dealt to
+blocks, and every two blocks are compared inside one task, which returns only links between components.
 
 Null and empty texts and texts without a word have an empty set and are linked with nothing; with
 fewer than ``width`` words the whole sequence is one shingle. Rows without an id get no component.
@@ -39,6 +41,8 @@ from mailsift.operators.scaling import BROADCAST_ROWS, cut_lineage
 WIDTH, PERCENT = 4, 85
 # Segments with this many shingles or fewer are only used with their neighbour's deletions.
 THIN = 1
+# A segment shared by more sets than this is compared by blocks; sets in a block.
+CROWD, BLOCK = 32, 300
 
 U = np.uint64
 _RANDOM = np.random.default_rng(99)
@@ -251,6 +255,78 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, struct_of("a long, b long"))
 
 
+def spanning_links(ids: list[int], comps: list[int], sets: list[np.ndarray], side: list[int], percent: int) -> list[tuple[int, int]]:
+    """Links between different components that join all which links join; ``side`` 0 against 1, 2 with all.
+
+    Common shingles are counted by products of presence matrices, some thousand shingles at a time.
+    """
+    n = len(sets)
+    token, place = np.unique(np.concatenate(sets), return_inverse=True)
+    doc = np.repeat(np.arange(n), [len(x) for x in sets])
+    often = np.bincount(place, minlength=len(token)) > 1
+    column = np.cumsum(often) - 1
+    use = often[place]
+    doc, column = doc[use], column[place[use]]
+    order = np.argsort(column, kind="stable")
+    doc, column = doc[order], column[order]
+    common = np.zeros((n, n), dtype=np.float32)
+    width = 4096
+    for at in range(0, int(often.sum()), width):
+        a, b = np.searchsorted(column, [at, at + width])
+        present = np.zeros((n, width), dtype=np.float32)
+        present[doc[a:b], column[a:b] - at] = 1
+        common += present @ present.T
+    size = np.array([len(x) for x in sets])
+    both = np.rint(common).astype(np.int64)
+    linked = 100 * both >= percent * (size[:, None] + size[None, :] - both)
+    comp, part = np.array(comps), np.array(side)
+    linked &= comp[:, None] != comp[None, :]
+    linked &= (part[:, None] != part[None, :]) | (part[:, None] == 2)
+    top = {c: c for c in comps}
+
+    def find(c: int) -> int:
+        while top[c] != c:
+            top[c] = top[top[c]]
+            c = top[c]
+        return c
+
+    out = []
+    for i, j in zip(*(x.tolist() for x in np.nonzero(np.triu(linked))), strict=True):
+        a, b = find(comps[i]), find(comps[j])
+        if a != b:
+            top[max(a, b)] = min(a, b)
+            out.append((ids[i], ids[j]))
+    return out
+
+
+def links_in_crowds(crowded: DataFrame, bodies: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) between components among sets (sig, doc, c) that share a crowded segment."""
+    heads = crowded.withColumn("a", F.min("doc").over(Window.partitionBy("sig")))
+    groups = components(heads.filter("a <> doc").select("a", F.col("doc").alias("b")))
+    member = crowded.select("doc", "c").distinct().join(groups, F.col("doc") == F.col("node")).select("doc", "c", "comp")
+    member = cut_lineage(member)
+    sizes = member.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    dealt = member.join(sizes, "comp").withColumn("mine", F.pmod(F.xxhash64(F.lit(8), "doc"), F.col("blocks")).cast("int"))
+    # A set takes part in as many comparisons as its group has blocks.
+    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    dealt = dealt.select("doc", "c", "comp", "mine", others).select(
+        "doc", "c", "comp",
+        F.least("mine", "other").alias("lo"),
+        F.greatest("mine", "other").alias("hi"),
+        F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1).alias("side"),
+    )
+    schema = struct_of("a long, b long")
+
+    def compare(group: pa.Table) -> pa.Table:
+        g = group.to_pydict()
+        # Rows of one block against another: the pairs inside a block are another task's.
+        sets = [shingles(t, width) for t in g["text"]]
+        links = spanning_links(g["doc"], g["c"], sets, g["side"], percent) if len(set(g["c"])) > 1 else []
+        return pa.table({k: pa.array([x[i] for x in links], pa.int64()) for i, k in enumerate("ab")})
+
+    return dealt.join(bodies, "doc").groupBy("comp", "lo", "hi").applyInArrow(compare, schema)
+
+
 def linked_components(documents: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
     texts = keyed_texts(documents, key, text)
@@ -310,8 +386,13 @@ def linked_components(documents: DataFrame, key: str = "doc_id", text: str = "te
         else:
             node = met.select("sig", "doc").join(rep, "doc", "left").select("sig", F.coalesce("rep", "doc").alias("doc")).distinct()
             node = of(node, "doc", "c")
-            several = node.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("sig")
-            node = cut_lineage(node.join(several, "sig", "left_semi"))
+            several = node.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("k"))
+            node = cut_lineage(node.join(several.filter("lo <> hi").select("sig", "k"), "sig"))
+            crowded = node.filter(F.col("k") > CROWD).select("sig", "doc", "c")
+            if crowded.limit(1).count():
+                edges = cut_lineage(edges.unionByName(links_in_crowds(crowded, bodies, width, percent)))
+                labels = components(edges)
+            node = node.filter(F.col("k") <= CROWD)
             x = node.select("sig", F.col("doc").alias("x"), F.col("c").alias("cx"))
             y = node.select("sig", F.col("doc").alias("y"), F.col("c").alias("cy"))
             todo = x.join(y, "sig").filter("cx <> cy and x < y").select("x", "y").distinct().withColumn("n", F.lit(1))

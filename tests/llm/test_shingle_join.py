@@ -65,6 +65,17 @@ def test_against_every_pair(spark, seed):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == plain_components(texts)
 
 
+def test_crowds_are_compared_by_blocks(spark, monkeypatch):
+    """Many near copies of one text, around the limit, with segments shared by most of them."""
+    monkeypatch.setattr(shingle_join, "CROWD", 4)
+    monkeypatch.setattr(shingle_join, "BLOCK", 25)
+    rng = random.Random(12)
+    base = " ".join(f"b{i}" for i in range(150))
+    texts = [edited(rng, base, rng.randrange(2, 9)) for _ in range(130)] + corpus(rng)
+    got = shingle_join.linked_components(documents(spark, texts)).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == plain_components(texts)
+
+
 def test_alike_sets_share_a_key():
     """Random pairs close to the limit, over all sizes where bands and numbers of segments change."""
     rng = np.random.default_rng(4)
