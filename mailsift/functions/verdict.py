@@ -63,6 +63,7 @@ def is_spam(label: Column | str) -> Column:
 
 def label_from_code(code: Column | str) -> Column:
     """0 and 1 become ham and spam; anything else, also unparsable text, becomes null."""
-    c = F.col(code) if isinstance(code, str) else code
-    n = c.try_cast("double")
+    c = F.trim((F.col(code) if isinstance(code, str) else code).cast("string"))
+    # The cast alone would also read type suffixes, as in '1d'.
+    n = F.when(c.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), c.try_cast("double"))
     return F.when(n == 0, "ham").when(n == 1, "spam")

@@ -14,7 +14,6 @@ from mailsift.schema import (
     MAX_BACKUPS,
     MAX_F1_DROP,
     REGISTRY,
-    REPORT_SCAN_LIMIT,
     RETRAIN_THRESHOLD,
     RUN_VERSION,
     SKIPPED_SUFFIX,
@@ -66,20 +65,15 @@ def _each_lang(spark) -> DataFrame:
     return spark.createDataFrame([(x,) for x in LANGS], "lang string")
 
 
-def new_feedback(reports: DataFrame, runs: DataFrame, limit: int = REPORT_SCAN_LIMIT) -> DataFrame:
-    """Per language the reports newer than the last attempt, among the newest ``limit``.
+def new_feedback(reports: DataFrame, runs: DataFrame) -> DataFrame:
+    """Per language the number of reports newer than the last attempt, over all reports.
 
-    Language is read off the stored content. Two rows of attempt times are broadcast; the
-    reports are reduced to time, id and language before they are ranked.
+    Language is read off the stored content. Two rows of attempt times are broadcast, and the
+    reports are counted where they are read.
     """
-    recent = (
-        reports.select("created_at", "id", detect_lang("content").alias("lang"))
-        .orderBy(F.desc("created_at"), F.desc("id"))
-        .limit(limit)
-    )
     since = latest_attempts(runs)
     counted = (
-        recent.join(F.broadcast(since), "lang", "left")
+        reports.select("created_at", detect_lang("content").alias("lang")).join(F.broadcast(since), "lang", "left")
         .filter(F.col("since").isNull() | (F.col("created_at") > F.col("since")))
         .groupBy("lang")
         .agg(F.count(F.lit(1)).alias("new_reports"))
@@ -138,17 +132,24 @@ def backups(registry: DataFrame, keep: int = MAX_BACKUPS) -> DataFrame:
 
 
 def pruned(registry: DataFrame, keep: int = MAX_BACKUPS) -> DataFrame:
-    """Backups beyond the newest ``keep`` per language: their folders may be deleted."""
+    """Backups beyond the newest ``keep`` per language whose folders may be deleted.
+
+    A rollback deploys a backup's folder, which then stands in the log twice: folders in use and
+    folders of kept backups are never listed.
+    """
     oldest_kept = (
         backups(registry, keep)
         .filter(F.col("index") == keep - 1)
         .select("lang", F.col("backup_id").alias("_oldest"))
     )
     rows = registry.filter(F.col("kind") == "backup")
+    needed = deployed(registry).select("path").unionByName(backups(registry, keep).select("path")).distinct()
     return (
         lookup_join(rows, oldest_kept, ["lang"], "inner")
         .filter(F.col("backup_id") < F.col("_oldest"))
         .select(*registry.columns)
+        .join(needed, "path", "left_anti")
+        .select(*registry.columns)
     )
 
 

@@ -25,8 +25,12 @@ HOT_KEYS = 1_000
 
 
 def size_up_to(df: DataFrame, limit: int = BROADCAST_ROWS) -> int:
-    """Row count, or ``limit`` + 1 when there are more; reads no more than it must to tell."""
-    return df.limit(limit + 1).count()
+    """Row count, or ``limit`` + 1 when there are more.
+
+    Every task counts its own rows and sends one number. A limit would send up to ``limit`` rows
+    of every partition to one task.
+    """
+    return min(df.count(), limit + 1)
 
 
 def is_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,6 +23,17 @@ def read_or_empty(spark: SparkSession, path: str, schema: T.StructType, fmt: str
     return S.conform(found, schema)
 
 
+def log_order() -> Column:
+    """An id that orders a log of pattern and op: time of the write, then removals after additions.
+
+    The microsecond of the write stands first, then ten bits of the pattern's hash, which tell
+    patterns of one write apart, and one bit for a removal.
+    """
+    micros = F.shiftleft(F.unix_micros(F.current_timestamp()), 11)
+    own = F.shiftleft(F.pmod(F.xxhash64("pattern"), F.lit(1024)), 1)
+    return micros + own + (F.col("op") == "remove").cast("long")
+
+
 class Store:
     """The message store as append-only parquet tables under one shared folder.
 
@@ -60,7 +71,7 @@ class Store:
             if stamp in target.fieldNames() and stamp not in rows.columns:
                 rows = rows.withColumn(stamp, F.localtimestamp())
         if "id" in target.fieldNames() and "id" not in rows.columns:
-            rows = rows.withColumn("id", F.xxhash64(*rows.columns))
+            rows = rows.withColumn("id", log_order() if name == "trust_log" else F.xxhash64(*rows.columns))
         return S.conform(rows, target, self.DEFAULTS.get(name))
 
     def append(self, name: str, rows: DataFrame) -> None:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable, Mapping
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,17 +17,31 @@ from mailsift.sources.tables import read_or_empty
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-_BATCH = T.StructField("batch", T.LongType())
-_STORED = T.StructType([*MESSAGES.fields, _BATCH])
+_BATCH = [T.StructField("run", T.StringType()), T.StructField("batch", T.LongType())]
+_STORED = T.StructType([*MESSAGES.fields, *_BATCH])
+# A table, or what reads it anew for every batch.
+Table = DataFrame | Callable[[], DataFrame]
+
+
+def run_of(checkpoint: str) -> str:
+    """Name of a run's folders. Batches are numbered per checkpoint, so each has folders of its own.
+
+    Use a new checkpoint folder for a new run: a name used again replaces the old run's batches.
+    """
+    return hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
 
 
-def _write_batch(rows: DataFrame, path: str, batch_id: int) -> None:
-    rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+def _write_batch(rows: DataFrame, path: str, run: str, batch_id: int) -> None:
+    rows.write.mode("overwrite").parquet(f"{path}/run={run}/batch={batch_id}")
 
 
-def _before(table: DataFrame, batch_id: int) -> DataFrame:
-    """Rows of earlier batches: what a replay of this batch must compare with."""
-    return table.filter(F.col("batch") < batch_id)
+def _others(table: DataFrame, run: str, batch_id: int) -> DataFrame:
+    """Rows of all other batches, of any run: what a replay of this batch must compare with."""
+    return table.filter(~((F.col("run") == run) & (F.col("batch") == batch_id)))
+
+
+def _now(table: Table) -> DataFrame:
+    return table() if callable(table) else table
 
 
 def stored_messages(spark: SparkSession, path: str) -> DataFrame:
@@ -32,11 +49,14 @@ def stored_messages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def score_stream(
-    mail: DataFrame, patterns: DataFrame, scorer: jobs.Scorer, path: str, checkpoint: str,
-    delay: str = "1 day",
+    mail: DataFrame, patterns: Table, scorer: jobs.Scorer, path: str, checkpoint: str,
+    delay: str = "1 day", trigger: Mapping | None = None,
 ) -> StreamingQuery:
     """Score arriving mail, each id once, into ``path``.
 
+    Stored rows have an id (from the mail's id) and the time they were stored. ``patterns`` may be a
+    function, called for every batch. ``trigger``: as for a stream writer, all that is there if not given.
+
     ``mail`` is a stream with gmail_id, pos and the mail fields. Ids repeated within ``delay`` of
     their arrival are dropped from bounded state (RocksDB, on disk); later repeats are caught by
     the comparison with the stored ids. Arrival time, not the mail's own time, drives the
@@ -44,6 +64,7 @@ def score_stream(
     """
     spark = mail.sparkSession
     spark.conf.set(STATE_STORE, ROCKSDB)
+    run = run_of(checkpoint)
     once = (
         mail.filter(F.col("gmail_id").isNotNull())
         .withColumn("_arrived", F.current_timestamp())
@@ -53,48 +74,56 @@ def score_stream(
     )
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        known = _before(stored_messages(batch.sparkSession, path), batch_id)
+        known = _others(stored_messages(batch.sparkSession, path), run, batch_id)
         batch.persist()  # counted for its size, then scored
         try:
-            _write_batch(jobs.scored_batch(batch, known, patterns, scorer), path, batch_id)
+            rows = jobs.scored_batch(batch, known, _now(patterns), scorer)
+            made = {"id": F.xxhash64("gmail_id"), "created_at": F.localtimestamp()}
+            made = {c: F.coalesce(c, v) if c in rows.columns else v for c, v in made.items()}
+            _write_batch(rows.withColumns(made), path, run, batch_id)
         finally:
             batch.unpersist()
 
     return (
         once.writeStream.foreachBatch(store)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
 
 
 def feedback_stream(
-    reports: DataFrame, runs: DataFrame, path: str, checkpoint: str, on_due=None
+    reports: DataFrame, runs: Table, path: str, checkpoint: str, on_due=None, trigger: Mapping | None = None
 ) -> StreamingQuery:
     """Store arriving reports and, after each batch, work out which languages are due.
 
-    ``on_due`` gets the due languages of a batch; logging the attempt it makes resets the count.
+    ``on_due`` gets the due languages of a batch; logging the attempt it makes resets the count when
+    ``runs`` is a function that reads the log, which is called for every batch.
     """
-    stored = T.StructType([*USER_REPORTS.fields, _BATCH])
+    stored = T.StructType([*USER_REPORTS.fields, *_BATCH])
+    run = run_of(checkpoint)
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        _write_batch(batch, f"{path}/reports", batch_id)
+        _write_batch(batch, f"{path}/reports", run, batch_id)
         seen = read_or_empty(batch.sparkSession, f"{path}/reports", stored)
-        seen = seen.filter(F.col("batch") <= batch_id)
-        due = lifecycle.retrain_due(seen, runs)
-        _write_batch(due, f"{path}/due", batch_id)
+        # A replay counts what it counted: all of other runs, this run's batches up to this one.
+        seen = seen.filter((F.col("run") != run) | (F.col("batch") <= batch_id))
+        due = lifecycle.retrain_due(seen, _now(runs))
+        _write_batch(due, f"{path}/due", run, batch_id)
         if on_due is not None:
             on_due(due.filter("due"))
 
     return (
         reports.writeStream.foreachBatch(store)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
 
 
-def tier_counts_stream(messages: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def tier_counts_stream(
+    messages: DataFrame, path: str, checkpoint: str, trigger: Mapping | None = None
+) -> StreamingQuery:
     """Running counts per verdict; each batch replaces the three-row table."""
     counts = messages.groupBy("predicted_label").agg(F.count(F.lit(1)).alias("n"))
 
@@ -105,6 +134,6 @@ def tier_counts_stream(messages: DataFrame, path: str, checkpoint: str) -> Strea
         counts.writeStream.outputMode("complete")
         .foreachBatch(store)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or {"availableNow": True}))
         .start()
     )

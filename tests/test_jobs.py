@@ -127,3 +127,39 @@ def test_feedback_stream_fires_once_due(spark, tmp_path):
         stream, runs, str(tmp_path / "f"), str(tmp_path / "cp"), lambda due: fired.append([r["lang"] for r in due.collect()])
     ).awaitTermination()
     assert fired == [[], ["ko"]]
+
+
+def test_runs_add_to_what_is_stored(spark, tmp_path):
+    """Two checkpoints over different files, one overlapping mail: nothing is lost or stored twice."""
+    schema = FIELDS + ", spam_prob double"
+    scored = [(*m, 0.9) for m in MAIL]
+    patterns = spark.createDataFrame([("good.com",)], "pattern string")
+    out = str(tmp_path / "out")
+    for name, part in (("a", scored[:2]), ("b", scored[1:])):
+        (tmp_path / name).mkdir()
+        stream = slices(spark, tmp_path / name, [part], schema)
+        streams.score_stream(stream, lambda: patterns, lambda b: b, out, str(tmp_path / name / "cp")).awaitTermination()
+    rows = streams.stored_messages(spark, out).collect()
+    assert sorted(r["gmail_id"] for r in rows) == ["g1", "g2", "g3", "g4"]
+    assert all(r["id"] is not None and r["created_at"] is not None for r in rows)
+
+
+def test_logged_attempts_reset_the_count(spark, tmp_path):
+    schema = "id long, content string, user_label string, note string, created_at timestamp_ntz"
+    at = datetime(2024, 5, 1)
+    parts = [[(10 * b + i, "안녕", "ham", None, at) for i in range(6)] for b in range(3)]
+    stream = slices(spark, tmp_path, parts, schema)
+    store = Store(spark, str(tmp_path / "s"))
+    fired = []
+
+    def on_due(due):
+        for r in due.collect():
+            fired.append(r["lang"])
+            run = [("v1", 1, 1, 0.9, 0.9, 0.9, 0.9, datetime(2024, 6, 1))]
+            names = "model_version string, train_size int, test_size int, accuracy double, precision_val double"
+            store.append("training_runs", spark.createDataFrame(run, names + ", recall_val double, f1_score double, trained_at timestamp_ntz"))
+
+    streams.feedback_stream(
+        stream, lambda: store.read("training_runs"), str(tmp_path / "f"), str(tmp_path / "cp"), on_due
+    ).awaitTermination()
+    assert fired == ["ko"]

@@ -97,3 +97,20 @@ def test_due_counts_strictly_newer_reports(spark):
     assert got == {"ko": (5, True), "en": (5, True)}
     none = {r["lang"]: (r["new_reports"], r["due"]) for r in lifecycle.retrain_due(reports.limit(0), history).collect()}
     assert none == {"ko": (0, False), "en": (0, False)}
+
+
+def test_pruning_spares_the_model_in_use(spark):
+    at = datetime(2024, 1, 1)
+    rows = [("ko", f"b{i}", f"m{i}", "backup", at) for i in range(4)] + [("ko", "b4", "m4", "backup", at), ("ko", "b5", "m0", "deploy", at)]
+    registry = spark.createDataFrame(rows, lifecycle.REGISTRY)
+    assert [r["path"] for r in lifecycle.pruned(registry).collect()] == ["m1"]
+
+
+def test_new_reports_are_counted_without_a_limit(spark):
+    at = datetime(2024, 1, 1)
+    rows = [(i, "안녕 하세요", "spam", None, at) for i in range(6)]
+    rows += [(100 + i, "hello there", "spam", None, datetime(2024, 1, 2)) for i in range(20)]
+    reports = spark.createDataFrame(rows, "id long, content string, user_label string, note string, created_at timestamp_ntz")
+    runs = spark.createDataFrame([], "model_version string, trained_at timestamp_ntz")
+    got = {r["lang"]: r["new_reports"] for r in lifecycle.new_feedback(reports, runs).collect()}
+    assert got == {"ko": 6, "en": 20}

@@ -149,3 +149,16 @@ def test_mail_without_sender_stays_empty_text(spark):
     row = mailbox.fetched_messages(rows, patterns).first()
     assert (row["sender"], row["content"], row["predicted_label"]) == ("", "s b", "spam")
     assert row["model_version"] == "v1-en"
+
+
+def test_list_follows_the_order_of_writes(spark, tmp_path):
+    from mailsift.operators import allowlist
+
+    store = Store(spark, str(tmp_path / "ordered"))
+    patterns = spark.createDataFrame([(f"d{i}.com", None) for i in range(20)], "pattern string, note string")
+    store.append("trust_log", allowlist.add_rows(patterns))
+    assert allowlist.current_list(store.read("trust_log")).count() == 20
+    store.append("trust_log", allowlist.remove_rows(patterns))
+    assert allowlist.current_list(store.read("trust_log")).count() == 0
+    store.append("trust_log", allowlist.add_rows(patterns.limit(3)))
+    assert allowlist.current_list(store.read("trust_log")).count() == 3

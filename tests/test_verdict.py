@@ -30,3 +30,12 @@ def test_version_tag_and_target(spark):
     rows = spark.createDataFrame([("ko", "SPAM"), ("en", "ham")], "lang string, label string")
     got = [tuple(r) for r in rows.select(vd.version_tag("lang"), vd.is_spam("label")).collect()]
     assert got == [("v1", 1), ("v1-en", 0)]
+
+
+def test_codes_with_type_suffixes_are_not_numbers(spark):
+    from pyspark.sql import functions as F
+
+    from mailsift.functions.verdict import label_from_code
+
+    rows = spark.createDataFrame([("1d",), ("1f",), ("0D",), ("1",), (" 0.0 ",), ("1e0",), ("",), (None,)], "c string")
+    assert [r[0] for r in rows.select(label_from_code(F.col("c"))).collect()] == [None, None, None, "spam", "ham", "spam", None, None]
