@@ -301,9 +301,11 @@ def spanning_links(ids: list[int], comps: list[int], sets: list[np.ndarray], sid
 
 def links_in_crowds(crowded: DataFrame, bodies: DataFrame, width: int, percent: int) -> DataFrame:
     """Links (a, b) between components among sets (sig, doc, c) that share a crowded segment."""
-    heads = crowded.withColumn("a", F.min("doc").over(Window.partitionBy("sig")))
-    groups = components(heads.filter("a <> doc").select("a", F.col("doc").alias("b")))
-    member = crowded.select("doc", "c").distinct().join(groups, F.col("doc") == F.col("node")).select("doc", "c", "comp")
+    # Groups of components that a crowded segment ties together; far fewer than their sets.
+    heads = crowded.groupBy("sig").agg(F.min("c").alias("a"))
+    ties = crowded.join(heads, "sig").filter("a <> c").select("a", F.col("c").alias("b")).distinct()
+    groups = components(ties)
+    member = crowded.select("doc", "c").distinct().join(groups, F.col("c") == F.col("node")).select("doc", "c", "comp")
     member = cut_lineage(member)
     sizes = member.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     dealt = member.join(sizes, "comp").withColumn("mine", F.pmod(F.xxhash64(F.lit(8), "doc"), F.col("blocks")).cast("int"))
