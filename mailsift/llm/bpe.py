@@ -93,12 +93,12 @@ class Vocabulary:
 class PieceBytes(dict):
     """Piece -> its ids as little-endian unsigned 32-bit integers, worked out when first asked for."""
 
-    def __init__(self, encode: Callable[[str], list[int]]):
+    def __init__(self, encode: Callable[[str], list[int]], kept: int = KEPT_PIECES):
         super().__init__()
-        self.encode = encode
+        self.encode, self.kept = encode, kept
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= KEPT_PIECES:
+        if len(self) >= self.kept:
             self.clear()
         ids = self.encode(piece)
         found = struct.pack(f"<{len(ids)}I", *ids)

@@ -52,5 +52,6 @@ def map_rows(df: DataFrame, rows: Callable[[Iterator[dict]], Iterable[tuple]], d
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, type=f.type) for c, f in zip(columns, arrow, strict=True)], names=names
                 )
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)

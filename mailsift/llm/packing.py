@@ -29,6 +29,8 @@ ITEMS = 20_000
 # Share of the length from which a bin counts as nearly full.
 NEARLY_FULL = 0.99
 FAN_IN = 16
+# Pieces a worker keeps the ids of; few, as a worker lives on after its task and new ones cost little.
+KEPT = 60_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 MEMBER = "struct<doc_id:bigint,piece:int,start:bigint,length:bigint,ids_crc32:bigint>"
@@ -47,9 +49,9 @@ def pieces_by_library(path: str) -> PieceBytes:
     ranks |= {voc.strings[merged]: merged for _, merged in voc.merges.values()}
     order = [merged for _, merged in sorted(voc.merges.values())]
     if order != sorted(order):  # ids do not follow the ranks: merge by the table itself
-        return PieceBytes(voc.encode_piece)
+        return PieceBytes(voc.encode_piece, KEPT)
     single = tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
-    return PieceBytes(single.encode_ordinary)
+    return PieceBytes(single.encode_ordinary, KEPT)
 
 
 def token_pieces(documents: DataFrame, path: str, length: int, end_id: int) -> DataFrame:
