@@ -45,6 +45,14 @@ HEADLINE = (
     "promotion_gate",
     "registry_list",
     "augment_templates",
+    "english_corpus",
+    "sender_trusted",
+    "fetch_recent",
+    "train_eval",
+    "score_mailbox",
+    "stream_scoring",
+    "stream_feedback",
+    "stream_stats",
 )
 
 

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from mailsift.schema import CONTENT_CAP
-
 # Character classes and patterns that decide tokens.
 # The classes spell out Unicode, since the JVM's short forms are ASCII only.
 WS = r"[\p{Z}\x09-\x0d\x1c-\x1f\x{85}]"
@@ -35,6 +33,10 @@ def _c(col: Column | str) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def _capped(col: Column, cap: int | None) -> Column:
+    return col if cap is None else F.substring(col, 1, cap)
+
+
 def strip(col: Column | str) -> Column:
     """Drop leading and trailing whitespace of every Unicode kind."""
     return F.trim(_c(col), F.lit(WS_CHARS))
@@ -78,9 +80,13 @@ def compose_email(
 
 
 def compose_content(
-    subject: Column | str, sender: Column | str, body: Column | str, attachment: Column | str
+    subject: Column | str,
+    sender: Column | str,
+    body: Column | str,
+    attachment: Column | str,
+    cap: int | None = None,
 ) -> Column:
-    """Stored form of a hand-entered mail: labelled lines, body always present."""
+    """Stored form of a hand-entered mail: labelled lines, body always present; whole unless ``cap`` is given."""
 
     def tagged(tag: str, col: Column | str) -> Column:
         s = strip(col)
@@ -93,15 +99,15 @@ def compose_content(
         F.coalesce(strip(body), F.lit("")),
         tagged(ATTACHMENT_TAG, attachment),
     )
-    return F.substring(lines, 1, CONTENT_CAP)
+    return _capped(lines, cap)
 
 
-def mail_content(subject: Column | str, body: Column | str) -> Column:
-    """Stored form of a fetched mail: subject and body, stripped, then cut."""
+def mail_content(subject: Column | str, body: Column | str, cap: int | None = None) -> Column:
+    """Stored form of a fetched mail: subject and body, stripped; whole unless ``cap`` is given."""
     joined = F.concat(
         F.coalesce(_c(subject), F.lit("")), F.lit(" "), F.coalesce(_c(body), F.lit(""))
     )
-    return F.substring(strip(joined), 1, CONTENT_CAP)
+    return _capped(strip(joined), cap)
 
 
 def _marked(col: Column | str, domains: str) -> Column:

@@ -47,9 +47,10 @@ def length_stats(corpus: DataFrame, lang: str) -> DataFrame:
 
 
 def length_histogram(corpus: DataFrame, lang: str, clip: int, bins: int = 50) -> DataFrame:
-    """``bins`` equal bins between the least and greatest clipped length, the last one closed.
+    """All ``bins`` equal bins between the least and greatest clipped length, the last one closed.
 
-    Bin numbers are whole-number arithmetic, so no edge value lands on the wrong side.
+    Bin numbers are whole-number arithmetic, so no edge value lands on the wrong side. A bin
+    without rows has n = 0; an empty corpus has no edges (null).
     """
     counts = length_counts(corpus, lang, clip)  # at most clip + 1 rows
     every = Window.partitionBy()
@@ -57,11 +58,18 @@ def length_histogram(corpus: DataFrame, lang: str, clip: int, bins: int = 50) ->
     slot = F.when(F.col("hi") == F.col("lo"), bins // 2).otherwise(
         F.least(F.floor((F.col("len") - F.col("lo")) * bins / (F.col("hi") - F.col("lo"))), F.lit(bins - 1))
     )
-    return (
+    filled = (
         counts.withColumns({"lo": lo, "hi": hi})
         .groupBy(slot.cast("int").alias("bin"))
         .agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     )
+    numbers = corpus.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
+    return numbers.join(filled, "bin", "left").select(
+        "bin",
+        F.coalesce("n", F.lit(0)).alias("n"),
+        F.min("lo").over(every).alias("lo"),
+        F.max("hi").over(every).alias("hi"),
+    )
 
 
 def token_frequency(corpus: DataFrame, lang: str) -> DataFrame:

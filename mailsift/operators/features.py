@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from mailsift.functions.text import tokens
-from mailsift.operators.scaling import HashLookup, cut_lineage, lookup_join, spread
+from mailsift.operators.scaling import BROADCAST_ROWS, HashLookup, cut_lineage, lookup_join, spread
 from mailsift.schema import (
     EN_MAX_LEN,
     EN_VOCAB_SIZE,
@@ -69,11 +69,15 @@ def vocabulary(
     tie = F.count(F.lit(1)).over(Window.partitionBy("n", "first_row"))
     tied = near.withColumn("_tie", tie).filter(F.col("_tie") > 1).select("token", "first_row")
     firsts = tied.select(F.col("first_row").alias(order)).distinct()
-    in_row = spread(corpus.select(order, "text").join(F.broadcast(firsts), order, "left_semi"), order)
-    places = in_row.select(
+    # Only a vocabulary size within the broadcast limit bounds the two sides below without a count.
+    bounded = size <= BROADCAST_ROWS
+    wanted = lookup_join(corpus.select(order, "text"), firsts, [order], "left_semi", right_is_bounded=bounded)
+    in_row = spread(wanted, order)
+    placed = in_row.select(
         F.col(order).alias("first_row"),
         F.posexplode(F.array_distinct(tokens("text", lang))).alias("first_pos", "token"),
-    ).join(F.broadcast(tied), ["token", "first_row"], "left_semi")
+    )
+    places = lookup_join(placed, tied, ["token", "first_row"], "left_semi", right_is_bounded=bounded)
     rank = (F.desc("n"), F.asc("first_row"), F.asc("first_pos"))
     top = near.join(places, ["token", "first_row"], "left").orderBy(*rank).limit(size)
     numbered = top.select(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Mapping
 from datetime import datetime, timezone
 
@@ -12,9 +13,11 @@ from mailsift.operators import lifecycle, mailbox
 from mailsift.operators.allowlist import current_list
 from mailsift.operators.model import LanguageModel, score_routed, train_and_evaluate
 from mailsift.operators.scaling import cut_lineage
-from mailsift.schema import RUN_VERSION, SKIPPED_SUFFIX
+from mailsift.schema import RUN_VERSION, SKIPPED_SUFFIX, TIER_LABELS, in_domain
 from mailsift.sources.tables import Store, save_predictions, save_reports, save_run
 
+log = logging.getLogger(__name__)
+
 Scorer = Callable[[DataFrame], DataFrame]
 
 
@@ -27,13 +30,13 @@ def scored_batch(fetched: DataFrame, stored: DataFrame, patterns: DataFrame, sco
 
 
 def mailbox_pass(store: Store, fetched: DataFrame, models: Mapping[str, LanguageModel]) -> tuple[int, int]:
-    """Score and store new mail; returns (saved, fetched)."""
+    """Score and store new mail; returns (saved, fetched). Rows refused by the store count as fetched only."""
     patterns = current_list(store.read("trust_log"))
     fetched = cut_lineage(fetched)  # parsed once, then read for its ids, its rows and its count
     fresh = cut_lineage(mailbox.model_input(mailbox.new_mail(fetched, store.read("messages"))))
     rows = cut_lineage(mailbox.fetched_messages(score_routed(fresh, models), patterns))
     save_predictions(store, rows)
-    return rows.count(), fetched.count()
+    return rows.filter(in_domain("predicted_label", TIER_LABELS)).count(), fetched.count()
 
 
 def load_models(store: Store) -> dict[str, LanguageModel]:
@@ -54,30 +57,49 @@ def retrain_round(store: Store, corpora: Mapping[str, DataFrame], at: datetime |
     """Retrain each language with enough new feedback; deploy it unless F1 fell too far.
 
     Returns the outcome per retrained language. A skipped attempt is logged too, so the same
-    reports do not trigger another try.
+    reports do not trigger another try. A language that fails is logged and reported as 'failed',
+    and does not stop the others; without a logged attempt it stays due.
     """
     at = at or datetime.now(timezone.utc).replace(tzinfo=None)
     reports, runs = store.read("user_reports"), store.read("training_runs")
     outcome = {}
     for row in lifecycle.retrain_due(reports, runs).filter("due").toLocalIterator():
         lang = row["lang"]
-        model, scores, n_train, n_test = train_and_evaluate(corpora[lang], reports, lang)
-        candidate = scores.select(F.lit(lang).alias("lang"), F.col("f1").alias("new_f1"))
-        verdict = lifecycle.promotion_gate(candidate, runs).first()
-        version = RUN_VERSION[lang]
-        if verdict["decision"] == "promoted":
-            deploy(store, lang, model, at)
-        else:
-            version += SKIPPED_SUFFIX
-        save_run(store, version, n_train, n_test, scores)
-        outcome[lang] = verdict["decision"]
+        try:
+            outcome[lang] = _retrain(store, lang, corpora[lang], reports, runs, at)
+        except Exception:
+            log.exception("retraining of %s failed", lang)
+            outcome[lang] = "failed"
     return outcome
 
 
-def mark_not_spam(store: Store, ids: DataFrame, labels: DataFrame | None = None) -> tuple[int, DataFrame | None]:
-    """Ham reports for the picked ids, appended at once; and the mailbox labels after the action."""
+def _retrain(store: Store, lang: str, corpus: DataFrame, reports: DataFrame, runs: DataFrame, at: datetime) -> str:
+    model, scores, n_train, n_test = train_and_evaluate(corpus, reports, lang)
+    candidate = scores.select(F.lit(lang).alias("lang"), F.col("f1").alias("new_f1"))
+    verdict = lifecycle.promotion_gate(candidate, runs).first()
+    version = RUN_VERSION[lang]
+    if verdict["decision"] == "promoted":
+        deploy(store, lang, model, at)
+    else:
+        version += SKIPPED_SUFFIX
+    save_run(store, version, n_train, n_test, scores)
+    return verdict["decision"]
+
+
+def mark_not_spam(
+    store: Store,
+    ids: DataFrame,
+    labels: DataFrame | None = None,
+    corpora: Mapping[str, DataFrame] | None = None,
+) -> tuple[int, DataFrame | None]:
+    """Ham reports for the picked ids, appended at once; and the mailbox labels after the action.
+
+    With ``corpora`` the new reports may make a language due, which is then retrained.
+    """
     reports = cut_lineage(mailbox.not_spam_reports(store.read("messages"), ids))
     save_reports(store, reports.drop("gmail_id"))
+    if corpora is not None:
+        retrain_round(store, corpora)
     if labels is None:
         return reports.count(), None
     actions = ids.select("gmail_id").distinct().withColumn("action", F.lit("not_spam"))

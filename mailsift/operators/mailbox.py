@@ -18,7 +18,7 @@ from mailsift.functions.text import (
 from mailsift.functions.verdict import pending_filter, to_tier, version_tag
 from mailsift.operators.allowlist import flag_trusted, override_verdict
 from mailsift.operators.scaling import first_by, is_small, lookup_join, spread
-from mailsift.schema import PAGE_SIZE, SENDER_CAP, VERSION_KO
+from mailsift.schema import PAGE_SIZE, VERSION_KO
 
 
 # ---- counts -------------------------------------------------------------------------------
@@ -81,6 +81,7 @@ def row_range(rows: DataFrame, offset: int, size: int, shallow: int = 10_000) ->
 
     Near the top a bounded sort serves. Deeper, counts by day, hour, ... and at last by id range
     find the small slice the page starts in, so no task ever sorts or holds all rows above it.
+    Rows without a time come last on either path, as in the sort.
     """
     if offset + size <= shallow:
         return rows.orderBy(F.desc("created_at"), F.desc("id")).offset(offset).limit(size)
@@ -90,9 +91,9 @@ def row_range(rows: DataFrame, offset: int, size: int, shallow: int = 10_000) ->
         if inside > shallow:
             step = F.floor(micros / unit)
             slot, above, inside = _slot(pool, step, offset, above)
-            if slot is None:
+            if inside == 0:
                 return rows.limit(0)
-            pool = pool.filter(step == slot)
+            pool = pool.filter(step.eqNullSafe(F.lit(slot)))
     while inside > shallow:
         low, high = pool.agg(F.min("id"), F.max("id")).first()
         width = max(-(-(high - low + 1) // 4096), 1)
@@ -100,14 +101,19 @@ def row_range(rows: DataFrame, offset: int, size: int, shallow: int = 10_000) ->
         slot, above, inside = _slot(pool, step, offset, above)
         pool = pool.filter(step == slot)
     start = pool.select("created_at", "id").orderBy(F.desc("created_at"), F.desc("id")).offset(offset - above).limit(1).first()
-    at_or_after = (F.col("created_at") < start[0]) | (
-        (F.col("created_at") == start[0]) & (F.col("id") <= start[1])
-    )
+    if start[0] is None:
+        at_or_after = F.col("created_at").isNull() & (F.col("id") <= start[1])
+    else:
+        at_or_after = (
+            F.col("created_at").isNull()
+            | (F.col("created_at") < start[0])
+            | ((F.col("created_at") == start[0]) & (F.col("id") <= start[1]))
+        )
     return rows.filter(at_or_after).orderBy(F.desc("created_at"), F.desc("id")).limit(size)
 
 
 def _slot(pool: DataFrame, step: Column, offset: int, above: int) -> tuple[int | None, int, int]:
-    """The slot holding row ``offset``, the rows above that slot, and the rows inside it."""
+    """The slot holding row ``offset``, the rows above that slot, and the rows inside it (0: past the end)."""
     counts = pool.groupBy(step.alias("u")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("u"))
     for row in counts.toLocalIterator():
         if above + row["n"] > offset:
@@ -179,12 +185,12 @@ def model_input(mail: DataFrame) -> DataFrame:
 
 
 def fetched_messages(scored: DataFrame, patterns: DataFrame) -> DataFrame:
-    """Rows to store for fetched mail that carries ``lang`` and ``spam_prob``: tier, allowlist, caps."""
+    """Rows to store for fetched mail that carries ``lang`` and ``spam_prob``: tier and allowlist; texts whole."""
     tiered = scored.withColumn("predicted_label", to_tier("spam_prob"))
     return override_verdict(flag_trusted(tiered, patterns)).select(
         F.lit("gmail").alias("source"),
         "gmail_id",
-        F.substring(F.coalesce("sender", F.lit("")), 1, SENDER_CAP).alias("sender"),
+        F.coalesce("sender", F.lit("")).alias("sender"),
         mail_content("subject", "body").alias("content"),
         "predicted_label",
         "spam_prob",

@@ -9,23 +9,18 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mailsift.functions.text import tokens
 from mailsift.functions.verdict import to_binary, to_tier
 from mailsift.operators.corpus import class_weight, feedback_rows, mark_test
-from mailsift.operators.features import MAX_LEN, vocabulary
+from mailsift.operators.features import vocabulary
 from mailsift.operators.metrics import metrics, metrics_by_lang
 from mailsift.operators.scaling import cut_lineage, spread
 from mailsift.schema import FEEDBACK_COPIES
 
 
-def model_tokens(text: Column | str, lang: str) -> Column:
-    """The tokens a model sees: those within the sequence length."""
-    return F.slice(tokens(text, lang), 1, MAX_LEN[lang])
-
-
 @dataclass
 class LanguageModel:
     """A fitted pipeline for one language."""
@@ -35,7 +30,7 @@ class LanguageModel:
 
     def score(self, rows: DataFrame, text: str = "text") -> DataFrame:
         """Add ``spam_prob``; a narrow pass over the rows."""
-        scored = self.pipeline.transform(rows.withColumn("_tokens", model_tokens(text, self.lang)))
+        scored = self.pipeline.transform(rows.withColumn("_tokens", tokens(text, self.lang)))
         return scored.withColumn("spam_prob", vector_to_array("_probability")[1]).drop(
             "_tokens", "_counts", "_features", "_raw", "_probability", "_prediction"
         )
@@ -55,7 +50,7 @@ def fit(train: DataFrame, lang: str, max_iter: int = 30) -> LanguageModel:
     The vocabulary is bounded by its size limit and is the only data that passes the driver.
     """
     train = cut_lineage(
-        spread(train.select("ord", "text", "y", "copies"), "ord").withColumn("_tokens", model_tokens("text", lang))
+        spread(train.select("ord", "text", "y", "copies"), "ord").withColumn("_tokens", tokens("text", lang))
     )
     vocab = vocabulary(train, lang, "ord", copies="copies")
     words = [r["token"] for r in vocab.orderBy("id").collect()]

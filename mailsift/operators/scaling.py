@@ -12,12 +12,15 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from mailsift.session import shared_dir
 
 # Rows of short columns (ids, patterns, tokens) allowed on a broadcast side.
 BROADCAST_ROWS = 200_000
+# Bytes of values allowed on a broadcast side, whatever its rows.
+BROADCAST_BYTES = 64 << 20
 # Files below which a table may yield fewer splits than there are cores.
 FEW_FILES = 16
 # Keys looked at when a big join is split into its hot and its even part.
@@ -33,9 +36,22 @@ def size_up_to(df: DataFrame, limit: int = BROADCAST_ROWS) -> int:
     return min(df.count(), limit + 1)
 
 
-def is_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``limit`` rows."""
-    return size_up_to(df, limit) <= limit
+def row_bytes(df: DataFrame) -> Column:
+    """About how many bytes the values of a row take."""
+    fixed, size = 8 * len(df.columns), F.lit(0)
+    nested = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
+    for field in df.schema.fields:
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            size = size + F.coalesce(F.octet_length(field.name), F.lit(0))
+    if nested:
+        size = size + F.octet_length(F.to_json(F.struct(*nested)))
+    return size + fixed
+
+
+def is_small(df: DataFrame, limit: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether ``df`` has at most ``limit`` rows and ``max_bytes`` of values; every task sends two numbers."""
+    rows, size = df.agg(F.count(F.lit(1)), F.sum(row_bytes(df))).first()
+    return rows <= limit and (size or 0) <= max_bytes
 
 
 def spread(df: DataFrame, key: str | None = None) -> DataFrame:
@@ -97,7 +113,7 @@ def lookup_join(
     1/HOT_KEYS of the rows is among them, so no shuffle partition holds a hot key.
     """
     keys = list(keys)
-    if right_is_bounded or is_small(right.select(*keys), limit):
+    if right_is_bounded or is_small(right, limit):
         return left.join(F.broadcast(right), keys, how)
     hot = (
         left.dropna(subset=keys)

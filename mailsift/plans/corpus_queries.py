@@ -242,7 +242,7 @@ spam AS (
 ham AS (
   SELECT ord, text FROM (
     SELECT *, row_number() OVER (PARTITION BY text ORDER BY ord) AS rn FROM (
-      SELECT conv_id * 1000 + turn AS ord, {q.collapse('text')} AS text FROM conversations WHERE role = 'assistant')
+      SELECT conv_id * 1000 + turn AS ord, {q.collapse('text')} AS text FROM conversations)
     WHERE length(text) > 5) WHERE rn = 1),
 kept AS (
   SELECT 1 AS source_no, ord, 'spam' AS label, text FROM (
@@ -273,7 +273,7 @@ def korean_corpus(spark, sf_dir):
         F.when(d % 3 == 0, "a.exe").when(d % 3 == 1, "nan").alias("file"),
         d.alias("ord"),
     )
-    talk = fx.table(spark, sf_dir, "conversations").filter("role = 'assistant'")
+    talk = fx.table(spark, sf_dir, "conversations")
     ham_raw = talk.select("role", "text", (F.col("conv_id") * 1000 + F.col("turn")).alias("ord"))
     item = F.col("item_id")
     synthetic = fx.table(spark, sf_dir, "benchmark").select(

@@ -57,8 +57,9 @@ def _stats_sql(lang: str) -> str:
 def _histogram_sql(lang: str, clip: int) -> str:
     return DOCS + f""", v AS (SELECT least({_length(lang)}, {clip}) AS l FROM docs),
 e AS (SELECT min(l) AS lo, max(l) AS hi FROM v)
-SELECT CAST(least((l - lo) * 50 // (hi - lo), 49) AS INTEGER) AS bin, count(*) AS n,
-  CAST(min(lo) AS INTEGER) AS lo, CAST(max(hi) AS INTEGER) AS hi FROM v, e GROUP BY 1"""
+SELECT b.bin, (SELECT count(*) FROM v, e WHERE least((l - lo) * 50 // (hi - lo), 49) = b.bin) AS n,
+  CAST(e.lo AS INTEGER) AS lo, CAST(e.hi AS INTEGER) AS hi
+FROM (SELECT CAST(unnest(range(50)) AS INTEGER) AS bin) b, e"""
 
 
 @query("length_stats_char", _stats_sql("ko"))

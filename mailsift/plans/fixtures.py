@@ -101,7 +101,6 @@ def user_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, t = F.col("conv_id"), F.col("turn")
     return (
         table(spark, sf_dir, "conversations")
-        .filter(F.col("role") == "user")
         .select(
             (c * 100 + t).alias("id"),
             F.when(c % 3 == 0, F.concat(F.lit("안녕 "), F.col("text")))
@@ -121,7 +120,7 @@ user_reports AS (
     CASE WHEN (conv_id + turn) % 3 = 0 THEN 'spam' ELSE 'ham' END AS user_label,
     CAST(NULL AS VARCHAR) AS note,
     TIMESTAMP '2024-01-01 00:00:00' + to_hours(CAST(conv_id AS INTEGER)) + to_minutes(CAST(turn AS INTEGER)) AS created_at
-  FROM conversations WHERE role = 'user')"""
+  FROM conversations)"""
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:

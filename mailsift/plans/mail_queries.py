@@ -108,7 +108,7 @@ def sender_email(spark, sf_dir):
     "sender_trusted",
     fx.with_views(fx.MAIL_SQL, fx.TRUST_LOG_SQL)
     + f""", allow AS (SELECT DISTINCT {q.domain('p')} AS pattern FROM (
-    SELECT lower({q.strip('pattern')}) AS p FROM trust_log WHERE id % 7 = 3) WHERE p <> ''),
+    SELECT lower({q.strip('pattern')}) AS p FROM trust_log) WHERE p <> ''),
   keyed AS (SELECT id, {_EMAIL} AS email FROM mail)
 SELECT id, email IN (SELECT pattern FROM allow)
   OR EXISTS (SELECT 1 FROM allow WHERE contains(email, '@')
@@ -117,7 +117,7 @@ SELECT id, email IN (SELECT pattern FROM allow)
 FROM keyed""",
 )
 def sender_trusted(spark, sf_dir):
-    log = fx.trust_log(spark, sf_dir).filter("id % 7 = 3")
+    log = fx.trust_log(spark, sf_dir)
     patterns = log.select(tx.email_domain(allowlist.clean_pattern("pattern")).alias("pattern"))
     flagged = allowlist.flag_trusted(fx.mail(spark, sf_dir), patterns.filter("pattern <> ''"))
     return flagged.select("id", "trusted")
@@ -430,7 +430,7 @@ def compose_content(spark, sf_dir):
 
 
 _LANG = q.lang_of("concat_ws(' ', subject, body)")
-_STORED = f"""SELECT 'gmail' AS source, gmail_id, substring(COALESCE(sender, ''), 1, 255) AS sender,
+_STORED = f"""SELECT 'gmail' AS source, gmail_id, COALESCE(sender, '') AS sender,
   {q.mail_content('subject', 'body')} AS content, predicted_label, spam_prob,
   CASE WHEN {_LANG} = 'ko' THEN 'v1' ELSE 'v1-en' END AS model_version, 0 AS actioned
 FROM overridden WHERE gmail_id IS NOT NULL"""

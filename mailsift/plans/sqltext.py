@@ -77,14 +77,14 @@ def compose_content(subject: str, sender: str, body: str, attachment: str) -> st
         return f"CASE WHEN {strip(x)} <> '' THEN '{tag}' || {strip(x)} END"
 
     return (
-        f"substring(concat_ws(chr(10), {tagged('제목: ', subject)}, {tagged('발신: ', sender)}, "
-        f"COALESCE({strip(body)}, ''), {tagged('첨부: ', attachment)}), 1, 5000)"
+        f"concat_ws(chr(10), {tagged('제목: ', subject)}, {tagged('발신: ', sender)}, "
+        f"COALESCE({strip(body)}, ''), {tagged('첨부: ', attachment)})"
     )
 
 
 def mail_content(subject: str, body: str) -> str:
     joined = f"(COALESCE({subject}, '') || ' ' || COALESCE({body}, ''))"
-    return f"substring({strip(joined)}, 1, 5000)"
+    return strip(joined)
 
 
 def preview(x: str, limit: int) -> str:

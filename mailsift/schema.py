@@ -20,15 +20,12 @@ EN_VOCAB_SIZE = 20_000
 PAD_TOKEN, PAD_ID = "<pad>", 0
 UNK_TOKEN, UNK_ID = "<unk>", 1
 FEEDBACK_COPIES = 5
-KO_COPIES = 1
 TEST_SHARE = 0.2
 SEED = 42
 EN_PER_CLASS = 1000
 RETRAIN_THRESHOLD = 5
 MAX_F1_DROP = 0.02
 MAX_BACKUPS = 3
-CONTENT_CAP = 5000
-SENDER_CAP = 255
 PAGE_SIZE = 10
 FETCH_SIZE = 100
 REPORT_SCAN_LIMIT = 100_000

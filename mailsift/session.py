@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -38,12 +39,12 @@ def local_session(cores: int | str = "*", app: str = "mailsift", memory: str = "
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder of the cluster (``spark.checkpoint.dir``).
 
-    Only a local session, as in tests, may fall back to a folder of this machine.
+    Only a session of one process, as in tests, may fall back to a folder of this machine.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if base:
         return base
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
     base = tempfile.mkdtemp(prefix="mailsift-")
     spark.sparkContext.setCheckpointDir(base)

@@ -21,36 +21,42 @@ KOREAN_CHARSET = "MS949"
 
 
 def file_encodings(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """path, encoding: UTF-8 where every line is valid UTF-8, else the Korean charset.
+    """path, encoding, header: UTF-8 where every line is valid UTF-8, else the Korean charset.
 
     Lines are tested as raw bytes, so big files are checked in splits. Line breaks are the same
-    byte in both charsets.
+    byte in both charsets. ``header`` is a digest of the first line's bytes.
     """
     # The metadata path is URL-encoded, save that a plus sign stays as it is.
     path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-    lines = spark.read.text(list(paths)).select(path.alias("path"), F.is_valid_utf8("value").alias("ok"))
+    at = F.when(F.col("_metadata.file_block_start") == 0, F.monotonically_increasing_id())
+    lines = spark.read.text(list(paths)).select(
+        path.alias("path"), F.is_valid_utf8("value").alias("ok"), F.struct(at.alias("at"), "value").alias("line")
+    )
+    first = F.min(F.when(F.col("line.at").isNotNull(), F.col("line")))["value"]
     return lines.groupBy("path").agg(
-        F.when(F.bool_and("ok"), "UTF-8").otherwise(KOREAN_CHARSET).alias("encoding")
+        F.when(F.bool_and("ok"), "UTF-8").otherwise(KOREAN_CHARSET).alias("encoding"),
+        F.md5(first.cast("binary")).alias("header"),
     )
 
 
 def read_csv_any(
     spark: SparkSession, paths: str | Sequence[str], multi_line: bool = True, as_text: bool = True
 ) -> DataFrame:
-    """CSV files with one header, whatever their encoding, as text columns plus ``ord``.
+    """CSV files, whatever their encoding and header, as text columns plus ``ord``.
 
-    Bytes that fit neither encoding are replaced; a missing file raises at once. ``ord`` is the
-    reading order. Quoted line breaks need ``multi_line``, which makes a file one split; pass
+    Files are read in groups of one encoding and header, in the order of each group's first path,
+    and united by column name. Bytes that fit neither encoding are replaced; a missing file raises
+    at once. ``ord`` is unique over all files and follows the reading order. Quoted line breaks need ``multi_line``, which makes a file one split; pass
     False for large files without them.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     if spark.conf.get("spark.sql.legacy.javaCharsets", "false") != "true":
         spark.conf.set("spark.sql.legacy.javaCharsets", RUNTIME_CONF["spark.sql.legacy.javaCharsets"])
-    groups: dict[str, list[str]] = {}
+    groups: dict[tuple[str, str], list[str]] = {}
     for row in file_encodings(spark, paths).orderBy("path").toLocalIterator():
-        groups.setdefault(row["encoding"], []).append(row["path"])
+        groups.setdefault((row["encoding"], row["header"]), []).append(row["path"])
     out = None
-    for encoding, files in sorted(groups.items()):
+    for number, ((encoding, _), files) in enumerate(groups.items()):
         part = (
             spark.read.option("header", True)
             .option("multiLine", multi_line)
@@ -59,7 +65,8 @@ def read_csv_any(
             .csv(files)
         )
         names = part.columns
-        part = part.withColumn("ord", F.monotonically_increasing_id())
+        # The id has its task number above 33 bits; the group stands above 2**17 tasks.
+        part = part.withColumn("ord", F.monotonically_increasing_id() + (number << 50))
         if as_text:
             part = part.withColumns({c: F.when(~F.col(c).isin(*MISSING), F.col(c)) for c in names})
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,6 +45,14 @@ class Store:
         [T.StructField("gmail_id", T.StringType()), T.StructField("acted_at", T.TimestampNTZType())]
     )
     TRUST_LOG = T.StructType([*S.TRUSTED_SENDERS.fields, T.StructField("op", T.StringType())])
+    REJECTS = T.StructType(
+        [
+            T.StructField("table_name", T.StringType()),
+            T.StructField("reason", T.StringType()),
+            T.StructField("row", T.StringType()),
+            T.StructField("created_at", T.TimestampNTZType()),
+        ]
+    )
     TABLES: Mapping[str, T.StructType] = {
         "messages": S.MESSAGES,
         "user_reports": S.USER_REPORTS,
@@ -52,6 +60,7 @@ class Store:
         "trust_log": TRUST_LOG,
         "action_log": ACTIONS,
         "registry": S.REGISTRY,
+        "rejects": REJECTS,
     }
     DEFAULTS: Mapping[str, Mapping[str, object]] = {"messages": S.MESSAGE_DEFAULTS}
 
@@ -78,13 +87,30 @@ class Store:
         self.ready(name, rows).write.mode("append").parquet(self.path(name))
 
 
+def _append_in_domain(store: Store, name: str, rows: DataFrame, column: str, allowed: Sequence[str]) -> None:
+    good, bad = S.split_domain(rows, column, allowed)
+    store.append(name, good)
+    reason = F.concat(F.lit(f"{column}: "), F.coalesce(column, F.lit("null")))
+    row = F.to_json(F.struct(*rows.columns))
+    store.append("rejects", bad.select(F.lit(name).alias("table_name"), reason.alias("reason"), row.alias("row")))
+
+
 def save_predictions(store: Store, rows: DataFrame) -> None:
-    """Append scored messages; labels outside the domain are refused."""
-    store.append("messages", rows.filter(S.in_domain("predicted_label", S.TIER_LABELS)))
+    """Append scored messages; those with a label outside the domain go to the rejects table.
+
+    ``rows`` is read twice: hand in a written table when it is costly.
+    """
+    _append_in_domain(store, "messages", rows, "predicted_label", S.TIER_LABELS)
 
 
 def save_reports(store: Store, rows: DataFrame) -> None:
-    store.append("user_reports", rows.filter(S.in_domain("user_label", S.REPORT_LABELS)))
+    """As ``save_predictions``, for user reports."""
+    _append_in_domain(store, "user_reports", rows, "user_label", S.REPORT_LABELS)
+
+
+def reject_counts(store: Store) -> DataFrame:
+    """table_name, reason, n."""
+    return store.read("rejects").groupBy("table_name", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 def save_run(store: Store, version: str, train_size: int, test_size: int, scores: DataFrame) -> None:

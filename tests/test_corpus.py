@@ -52,6 +52,19 @@ def test_files_with_different_headers(spark, tmp_path):
     assert sorted(r["text"] for r in ham.collect()) == ["내일 일정 변경 안내", "오늘 회의 안내 드립니다"]
 
 
+def test_one_call_over_two_headers_and_encodings(spark, tmp_path):
+    (tmp_path / "1.csv").write_text("text,label\n같은 글,ham\n첫째,ham\n", encoding="utf-8")
+    (tmp_path / "2.csv").write_text("label,text\nspam,같은 글\nspam,둘째\n", encoding="utf-8")
+    (tmp_path / "3.csv").write_bytes("label,text\nspam,같은 글\nham,셋째\n".encode("cp949"))
+    rows = csv_files.read_csv_any(spark, [str(tmp_path / f"{n}.csv") for n in (1, 2, 3)])
+    assert {(r["label"], r["text"]) for r in rows.collect()} == {
+        ("ham", "같은 글"), ("ham", "첫째"), ("spam", "같은 글"), ("spam", "둘째"), ("ham", "셋째"),
+    }
+    assert rows.select("ord").distinct().count() == rows.count() == 6
+    first = corpus.distinct_texts(rows, [F.col("ord")]).collect()
+    assert {r["text"]: r["label"] for r in first}["같은 글"] == "ham" and len(first) == 4
+
+
 def test_longest_column_tie_and_nulls(spark):
     rows = spark.createDataFrame([("abc", None, "x"), ("abc", "abc", "y")], "a string, b string, c string")
     assert corpus.longest_text_column(rows) == "a"
@@ -132,24 +145,20 @@ def vocab(spark, texts, lang="ko", **options):
 
 
 def test_vocabulary(spark):
-    assert vocab(spark, ["가나다"]) == {"<pad>": 0, "<unk>": 1}
-    assert vocab(spark, ["안녕하세요"] * 3) == {
-        "<pad>": 0, "<unk>": 1, "안": 2, "녕": 3, "하": 4, "세": 5, "요": 6,
-    }
+    assert vocab(spark, ["한번씩만"]) == {"<pad>": 0, "<unk>": 1}
+    assert vocab(spark, ["물고기"] * 2) == {"<pad>": 0, "<unk>": 1, "물": 2, "고": 3, "기": 4}
     # count first, then the earlier row, then the earlier place
-    assert vocab(spark, ["b a", "a b c", "c d d"], "en", max_size=3) == {
-        "<pad>": 0, "<unk>": 1, "b": 2, "a": 3, "c": 4,
+    assert vocab(spark, ["pear fig", "fig pear plum", "plum kiwi kiwi"], "en", max_size=3) == {
+        "<pad>": 0, "<unk>": 1, "pear": 2, "fig": 3, "plum": 4,
     }
-    assert vocab(spark, ["z y x z y x"], "en", max_size=2) == {"<pad>": 0, "<unk>": 1, "z": 2, "y": 3}
+    assert vocab(spark, ["oak elm ash oak elm ash"], "en", max_size=2) == {"<pad>": 0, "<unk>": 1, "oak": 2, "elm": 3}
 
 
 def test_encode(spark):
-    words = features.vocabulary(
-        spark.createDataFrame([(i, "안녕하세요") for i in range(3)], "id long, text string"), "ko", "id"
-    )
-    rows = spark.createDataFrame([(0, "안"), (1, "안녕하세요반갑습니다"), (2, "Z"), (3, "")], "id long, text string")
-    got = [r["ids"] for r in features.encode(rows, words, "ko", 3).orderBy("id").collect()]
-    assert got == [[2, 0, 0], [2, 3, 4], [1, 0, 0], [0, 0, 0]]
+    words = spark.createDataFrame([("물", 2), ("고", 3), ("기", 4)], "token string, id int")
+    rows = spark.createDataFrame([(0, "기"), (1, "물고기잡이"), (2, "Q"), (3, "")], "id long, text string")
+    got = [r["ids"] for r in features.encode(rows, words, "ko", 4).orderBy("id").collect()]
+    assert got == [[4, 0, 0, 0], [2, 3, 4, 1], [1, 0, 0, 0], [0, 0, 0, 0]]
 
 
 def test_encode_with_a_vocabulary_too_large_to_look_up(spark, monkeypatch):

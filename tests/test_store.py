@@ -1,9 +1,10 @@
 import datetime
 
+from pyspark.sql import functions as F
 
 from mailsift import schema as S
 from mailsift.operators import allowlist, mailbox
-from mailsift.sources.tables import Store, save_predictions, save_reports, save_run
+from mailsift.sources.tables import Store, reject_counts, save_predictions, save_reports, save_run
 
 PREDICTION = "content string, predicted_label string, spam_prob double, gmail_id string"
 
@@ -22,12 +23,11 @@ def test_tables_start_empty_and_typed(spark, tmp_path):
 
 def test_save_and_read_back(spark, tmp_path):
     store = Store(spark, str(tmp_path))
-    put(spark, store, ("본문내용", "spam", 0.91, None))
-    row = mailbox.newest(store.read("messages"), 5).collect()
-    assert len(row) == 1
-    assert (row[0]["content"], row[0]["predicted_label"]) == ("본문내용", "spam")
-    assert (row[0]["source"], row[0]["model_version"], row[0]["actioned"]) == ("manual", "v1", 0)
-    assert isinstance(row[0]["created_at"], datetime.datetime)
+    put(spark, store, ("회의록 공유", "review", 0.55, "g7"))
+    row = mailbox.newest(store.read("messages"), 5).first()
+    assert (row["content"], row["predicted_label"], row["spam_prob"], row["gmail_id"]) == ("회의록 공유", "review", 0.55, "g7")
+    assert (row["source"], row["model_version"], row["actioned"]) == ("manual", "v1", 0)
+    assert isinstance(row["created_at"], datetime.datetime)
 
 
 def test_stats_by_tier(spark, tmp_path):
@@ -35,8 +35,9 @@ def test_stats_by_tier(spark, tmp_path):
     empty = mailbox.verdict_stats(store.read("messages"))
     assert tuple(empty.first()) == (0, None, None, None)
     assert tuple(mailbox.stats_view(empty).first()) == (0, 0, 0, 0)
-    put(spark, store, ("c1", "spam", 0.9, None), ("c2", "ham", 0.1, None), ("c3", "review", 0.5, None))
-    assert tuple(mailbox.verdict_stats(store.read("messages")).first()) == (3, 1, 1, 1)
+    tiers = ["spam"] * 3 + ["ham"] * 2 + ["review"]
+    put(spark, store, *[(f"text {i}", tier, 0.5, None) for i, tier in enumerate(tiers)])
+    assert tuple(mailbox.verdict_stats(store.read("messages")).first()) == (6, 3, 1, 2)
 
 
 def test_many_messages_without_id(spark, tmp_path):
@@ -46,10 +47,25 @@ def test_many_messages_without_id(spark, tmp_path):
     assert store.read("messages").count() == 2
 
 
-def test_labels_outside_the_domain_are_refused(spark, tmp_path):
+def test_labels_outside_the_domain_become_rejects(spark, tmp_path):
     store = Store(spark, str(tmp_path))
     put(spark, store, ("m1", "Spam", 0.9, None), ("m2", None, 0.1, None), ("m3", "ham", 0.1, None))
     assert [r["content"] for r in store.read("messages").collect()] == ["m3"]
+    counts = {(r["table_name"], r["reason"]): r["n"] for r in reject_counts(store).collect()}
+    assert counts == {("messages", "predicted_label: Spam"): 1, ("messages", "predicted_label: null"): 1}
+    assert any('"content":"m1"' in r["row"] for r in store.read("rejects").collect())
+
+
+def test_late_pages_with_null_times(spark):
+    rows = spark.range(40).select(
+        "id",
+        F.when(F.col("id") % 4 != 0, F.expr("timestamp_ntz'2024-03-01' + make_interval(0, 0, 0, 0, 0, cast(id % 5 as int), 0)")).alias("created_at"),
+    )
+    for offset in (0, 7, 28, 31, 38, 40, 99):
+        want = [r["id"] for r in mailbox.row_range(rows, offset, 6).collect()]
+        assert [r["id"] for r in mailbox.row_range(rows, offset, 6, shallow=3).collect()] == want
+    nulls = rows.filter("created_at IS NULL")
+    assert [r["id"] for r in mailbox.row_range(nulls, 2, 3, shallow=1).collect()] == [28, 24, 20]
 
 
 def test_conform_twice_changes_nothing(spark):
@@ -65,21 +81,22 @@ def test_allowlist_insert_then_update(spark, tmp_path):
     store = Store(spark, str(tmp_path))
     schema = "id long, pattern string, note string"
 
-    def add(i, pattern, note):
-        store.append("trust_log", allowlist.add_rows(spark.createDataFrame([(i, pattern, note)], schema)))
-
-    add(1, " A@B.com ", "first")
-    add(2, "a@b.com", "updated")
-    add(3, "  ", "blank")
-    rows = allowlist.newest_first(allowlist.current_list(store.read("trust_log"))).collect()
-    assert [(r["pattern"], r["note"], r["id"]) for r in rows] == [("a@b.com", "updated", 1)]
-    mail = spark.createDataFrame([("A@B.COM",)], "sender string")
-    assert allowlist.flag_trusted(mail, allowlist.current_list(store.read("trust_log"))).first()["trusted"]
-    gone = spark.createDataFrame([(4, "A@b.com", None)], schema)
-    store.append("trust_log", allowlist.remove_rows(gone))
-    assert allowlist.current_list(store.read("trust_log")).count() == 0
-    add(5, "a@b.com", "again")
-    assert allowlist.current_list(store.read("trust_log")).first()["id"] == 5
+    def listed():
+        return allowlist.current_list(store.read("trust_log"))
+
+    def log(change, i, pattern, note=None):
+        store.append("trust_log", change(spark.createDataFrame([(i, pattern, note)], schema)))
+
+    log(allowlist.add_rows, 10, " Billing@Corp.Test ", "invoices")
+    log(allowlist.add_rows, 11, "\t", "nothing")
+    log(allowlist.add_rows, 12, "billing@corp.test", "invoices and offers")
+    assert [(r["id"], r["pattern"], r["note"]) for r in listed().collect()] == [(10, "billing@corp.test", "invoices and offers")]
+    mail = spark.createDataFrame([("BILLING@corp.test",)], "sender string")
+    assert allowlist.flag_trusted(mail, listed()).first()["trusted"]
+    log(allowlist.remove_rows, 13, "billing@CORP.test")
+    assert listed().count() == 0
+    log(allowlist.add_rows, 14, "billing@corp.test", "back")
+    assert [(r["id"], r["note"]) for r in listed().collect()] == [(14, "back")]
 
 
 def test_runs_and_reports(spark, tmp_path):
