@@ -61,6 +61,26 @@ def test_margins_tell_toxic_windows():
     assert model.margins("") == []
 
 
+def test_toxic_stems_of_many_rare_forms(spark):
+    rng = random.Random(4)
+    rows, labels = [], []
+    for i in range(900):
+        bad = i % 9 == 0
+        words = ["".join(rng.choices("aeioustnrl", k=rng.randrange(2, 9))) for _ in range(60)]
+        if bad:
+            # One stem a language, hardly any word form twice.
+            stem = ["gräuk", "bomvé", "vilpm"][i // 9 % 3]
+            for k in rng.sample(range(60), 4):
+                words[k] = stem + "".join(rng.choices("aeioustnrl", k=rng.randrange(3, 7)))
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(bad)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), labelled.remainder(F.col("doc_id"), 3) != 1)
+    scores = {r.doc_id: r.score for r in toxicity.score_texts(docs, model).collect()}
+    test = [(scores[i] >= toxicity.REJECT_FROM, bool(y)) for i, y in labels if held_out(i, 3, 1)]
+    assert np.mean([got for got, y in test if y]) > 0.9 and np.mean([got for got, y in test if not y]) < 0.02
+
+
 def test_quality_held_out(spark):
     docs, labels, truth = corpus(spark, "quality")
     model = line_quality.fit(docs, labels, labelled.remainder(F.col("doc_id"), 5) != 0)
