@@ -47,6 +47,30 @@ def test_a_group_larger_than_a_shard(spark):
     assert sum(n for _, n in hot.most_common(6)) >= 0.9 * 350
 
 
+def test_exchanges_keep_to_the_room():
+    # A swap, a cycle of three, and a way that ends in room.
+    asks = {(0, 1): 5, (1, 0): 3, (1, 2): 4, (2, 0): 4, (3, 0): 2, (0, 4): 9}
+    got = sharding.exchanges(asks, [0, 0, 0, 0, 1])
+    assert all(0 < n <= asks[k] for k, n in got.items())
+    grown = Counter()
+    for (i, j), n in got.items():
+        grown[i] -= n
+        grown[j] += n
+    assert all(grown[s] <= room for s, room in enumerate([0, 0, 0, 0, 1])) and grown[4] == 1
+    assert got[0, 1] == 5 and got[1, 0] == 3 and sharding.exchanges({(0, 1): 3}, [0, 0]) == {}
+
+
+def test_pairs_in_full_shards(spark):
+    # 100,000 rows, all of them in pairs: no shard has room, so pairs must swap places.
+    docs = spark.range(0, 100_000, 1, 4).selectExpr("id as doc_id", "concat('pair ', id div 2) as text")
+    got = sharding.shard_documents(docs)
+    sizes = [r["count"] for r in got.groupBy("shard").count().collect()]
+    assert len(sizes) == 16 and max(sizes) - min(sizes) <= 1
+    assert got.select("shard", "slot").distinct().count() == 100_000
+    whole = got.groupBy("text_crc32", (got["doc_id"] / 2).cast("long")).agg(sharding.F.countDistinct("shard").alias("n"))
+    assert whole.filter("n = 1").count() >= 0.99 * 50_000
+
+
 @pytest.mark.parametrize("texts", [[], ["a"], ["a", "a", "a"], AWKWARD, ["same"] * 100])
 def test_small_tables(spark, texts):
     check_shards(sharding.shard_documents(documents(spark, texts)).collect(), texts, 16)
