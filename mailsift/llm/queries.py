@@ -5,10 +5,22 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailsift.llm import bpe, chunks, imatch, line_quality, outliers, packing, sharding, shingle_join, token_counts, toxicity
+from mailsift.llm import (
+    bpe,
+    chunks,
+    conversations,
+    imatch,
+    line_quality,
+    outliers,
+    packing,
+    sharding,
+    shingle_join,
+    token_counts,
+    toxicity,
+)
 from mailsift.llm.frames import keyed_texts, table
 from mailsift.llm.labelled import remainder
 
@@ -124,6 +136,107 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversations with rows dropped, emptied, cut short, repeated or given to the user, by a checksum.
+
+    A null is one space, also in the checksum's text.
+    """
+    key = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")])
+    text = F.coalesce(F.col("text").cast("string"), F.lit(" "))
+    text = F.when(F.col("_h") == 1, "").when(F.col("_h") == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text)
+    role = F.when(F.col("_h") == 4, "user").otherwise(F.coalesce(F.col("role").cast("string"), F.lit(" ")))
+    marked = rows.select("conv_id", "turn", "role", "text", (F.crc32(key) % 20).alias("_h")).filter("_h <> 0")
+    copies = F.explode(F.when(F.col("_h") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("_copy")
+    return marked.select("conv_id", "turn", role.alias("role"), text.alias("text"), copies).drop("_copy")
+
+
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest edits and digest of every damaged conversation."""
+    given = table(spark, sf_dir, "conversations")
+    found = conversations.repair(damaged(given))
+    hashed = conversations.digests(found.conversations(), F.concat("role", F.lit(":"), "text"))
+    report = found.report().withColumn("repaired_sha256", F.lit(None).cast("string"))
+    numbers = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+
+    def without_rows(df: DataFrame, sha: Column) -> DataFrame:
+        zeros = [F.lit(0).cast("long").alias(c) for c in numbers]
+        return df.select("conv_id", *zeros, F.lit("").alias("audit"), sha.alias("repaired_sha256"))
+
+    whole = conversations.merged(
+        report, without_rows(hashed, F.col("sha256")), without_rows(given.select("conv_id").distinct(), F.lit(None).cast("string"))
+    )
+    return whole.withColumn("repaired_sha256", F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)))
+
+
+OP11_SQL = """
+WITH RECURSIVE crc AS (
+  SELECT list(c ORDER BY k) AS t FROM (
+    SELECT k, list_reduce(list_prepend(k, range(8)),
+      lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+    FROM range(256) AS r(k))
+), keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k
+  FROM conversations
+), hashed AS (
+  SELECT keyed.*, xor(list_reduce(
+    list_prepend(4294967295, list_transform(string_split(k, ''), lambda c: ascii(c)::BIGINT)),
+    lambda c, b: xor(t[1 + (xor(c, b) & 255)], c >> 8)), 4294967295) % 20 AS h
+  FROM keyed, crc
+), hurt AS (
+  SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role,
+    CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE WHEN h = 3 THEN [1, 2] ELSE [1] END) AS copy
+  FROM hashed WHERE h <> 0
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i,
+    CASE WHEN left(role, 1) IN ('s', 'u', 'a') THEN left(role, 1) ELSE '?' END AS r
+  FROM hurt
+), marked AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' 
+      WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+    WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\\z') THEN 'truncated' ELSE '' END AS fault,
+    lag(r) OVER (PARTITION BY conv_id ORDER BY i) || r AS pair
+  FROM placed
+), ins(st, nx, c, a, o) AS (
+  VALUES (0, 0, 0, '', []::VARCHAR[]), (1, 1, 0, '', []), (2, 2, 0, '', []), (3, 3, 0, '', []),
+    (0, 2, 2, 'I', ['user:']), (1, 2, 2, 'I', ['user:']), (3, 2, 2, 'I', ['user:']), (2, 3, 2, 'I', ['assistant:']),
+    (0, 3, 4, 'II', ['user:', 'assistant:']), (1, 3, 4, 'II', ['user:', 'assistant:'])
+), moves(st, r, a, nx, c, nr) AS (
+  SELECT st, r, 'D', st, 3, NULL::VARCHAR FROM range(4) AS s(st), unnest(['s', 'u', 'a', '?']) AS q(r)
+  UNION ALL VALUES (0, 's', 'K', 1, 0, NULL), (0, 'u', 'K', 2, 0, NULL), (1, 'u', 'K', 2, 0, NULL),
+    (2, 'a', 'K', 3, 0, NULL), (3, 'u', 'K', 2, 0, NULL)
+  UNION ALL SELECT st, r, 'R', CASE WHEN st = 2 THEN 3 ELSE 2 END, 2, CASE WHEN st = 2 THEN 'assistant' ELSE 'user' END
+  FROM range(4) AS s(st), unnest(['s', 'u', 'a', '?']) AS q(r)
+), walk AS (
+  SELECT DISTINCT conv_id, 0::BIGINT AS i, 0::BIGINT AS st, {'c': 0::BIGINT, 'a': '', 'o': []::VARCHAR[]} AS best FROM marked
+  UNION ALL
+  SELECT w.conv_id, w.i + 1, m.nx::BIGINT, min({
+    'c': w.best.c + n.c + m.c + CASE WHEN m.a <> 'D' AND d.fault = 'truncated' THEN 1 ELSE 0 END,
+    'a': w.best.a || n.a || m.a,
+    'o': w.best.o || n.o || CASE WHEN m.a = 'D' THEN [] ELSE [coalesce(m.nr, d.role) || ':' || d.text] END})
+  FROM walk w JOIN marked d ON d.conv_id = w.conv_id AND d.i = w.i + 1
+  JOIN ins n ON n.st = w.st
+  JOIN moves m ON m.st = n.nx AND m.r = d.r AND (m.a = 'D' OR d.fault NOT IN ('blank', 'duplicate'))
+  GROUP BY w.conv_id, w.i + 1, m.nx
+), sums AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM marked GROUP BY conv_id
+), best AS (
+  SELECT w.conv_id, min({'c': w.best.c + n.c, 'a': w.best.a || n.a, 'o': w.best.o || n.o}) AS b
+  FROM walk w JOIN sums USING (conv_id) JOIN ins n ON n.st = w.st
+  WHERE w.i = sums.n AND n.nx IN (0, 3) GROUP BY w.conv_id
+)
+SELECT g.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(b.c, 0)::BIGINT AS cost,
+  coalesce(b.a, '') AS audit, sha256(coalesce(array_to_string(b.o, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) g LEFT JOIN sums USING (conv_id) LEFT JOIN best USING (conv_id)
+"""
+
+
 QUERIES: dict[str, Query] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_toxicity": op2_toxicity,
@@ -135,5 +248,6 @@ QUERIES: dict[str, Query] = {
     "op8_document_fingerprints": op8_document_fingerprints,
     "op9_shingle_join": op9_shingle_join,
     "op10_quality_rules": op10_quality_rules,
+    "op11_conversation_repair": op11_conversation_repair,
 }
-SQL: dict[str, str] = {"op9_shingle_join": OP9_SQL.strip()}
+SQL: dict[str, str] = {"op9_shingle_join": OP9_SQL.strip(), "op11_conversation_repair": OP11_SQL.strip()}
