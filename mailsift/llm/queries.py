@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from mailsift.llm import (
     bpe,
     chunks,
+    collisions,
     conversations,
     imatch,
     line_quality,
@@ -18,6 +19,7 @@ from mailsift.llm import (
     packing,
     sharding,
     shingle_join,
+    spelling,
     token_counts,
     toxicity,
 )
@@ -237,6 +239,60 @@ FROM (SELECT DISTINCT conv_id FROM conversations) g LEFT JOIN sums USING (conv_i
 """
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents, one run in 97 misspelt, with their near words, forms and roots."""
+    return spelling.grouped(spelling.counted_words(table(spark, sf_dir, "documents")))
+
+
+OP12_SQL = """
+WITH RECURSIVE crc AS (
+  SELECT list(c ORDER BY k) AS t FROM (
+    SELECT k, list_reduce(list_prepend(k, range(8)),
+      lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+    FROM range(256) AS r(k))
+), runs AS (
+  SELECT doc_id, run, count(*) AS n FROM (
+    SELECT doc_id, unnest(regexp_extract_all(
+      translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run
+    FROM documents)
+  WHERE length(run) >= 5 GROUP BY doc_id, run
+), hashed AS (
+  SELECT run, n, xor(list_reduce(list_prepend(4294967295, flatten(list_transform(
+      string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, ''),
+      lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [195::BIGINT, unicode(c) - 64] END))),
+    lambda c, b: xor(t[1 + (xor(c, b) & 255)], c >> 8)), 4294967295) AS h
+  FROM runs, crc
+), w AS (
+  SELECT CASE WHEN h % 97 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END
+    AS word, sum(n)::BIGINT AS n
+  FROM hashed GROUP BY 1 HAVING sum(n) >= 3 AND length(word) >= 5
+), holes AS (
+  SELECT word, n, i, left(word, i) || substr(word, i + 2) AS rest FROM w, unnest(range(length(word))) AS u(i)
+), pairs AS (
+  SELECT a.word, b.word AS other FROM holes a JOIN holes b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, b.word FROM holes a JOIN w b ON a.rest = b.word
+  UNION SELECT b.word, a.word FROM holes a JOIN w b ON a.rest = b.word
+), best AS (
+  SELECT p.word, count(*) AS n_near, min({'less': -o.n, 'form': p.other}) AS best
+  FROM pairs p JOIN w o ON o.word = p.other GROUP BY p.word
+), formed AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near,
+    CASE WHEN -best.less >= 2 * w.n THEN best.form END AS form, CASE WHEN -best.less >= 2 * w.n THEN -best.less END AS form_n
+  FROM w LEFT JOIN best USING (word)
+), walk AS (
+  SELECT word, word AS root, form AS next FROM formed
+  UNION ALL SELECT walk.word, f.word, f.form FROM walk JOIN formed f ON f.word = walk.next
+)
+SELECT f.word, f.form, walk.root, f.n, f.n_near, f.form_n
+FROM formed f JOIN walk ON walk.word = f.word AND walk.next IS NULL
+"""
+
+
+def op13_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of every vector whose id is divisible by 100."""
+    return collisions.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 QUERIES: dict[str, Query] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_toxicity": op2_toxicity,
@@ -249,5 +305,11 @@ QUERIES: dict[str, Query] = {
     "op9_shingle_join": op9_shingle_join,
     "op10_quality_rules": op10_quality_rules,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_nearest_vectors": op13_nearest_vectors,
+}
+SQL: dict[str, str] = {
+    "op9_shingle_join": OP9_SQL.strip(),
+    "op11_conversation_repair": OP11_SQL.strip(),
+    "op12_spelling_variants": OP12_SQL.strip(),
 }
-SQL: dict[str, str] = {"op9_shingle_join": OP9_SQL.strip(), "op11_conversation_repair": OP11_SQL.strip()}
