@@ -1,4 +1,8 @@
-"""Mail payload parsing inside one row: no explode, no regrouping by message."""
+"""Mail payload parsing inside one row: no explode, no regrouping by message.
+
+A message is a tree of parts of any depth. One pass reads DEPTH levels and keeps what lies below as the
+JSON it was; ``deepened`` reads the next levels of that, and so on until nothing is left.
+"""
 
 from __future__ import annotations
 
@@ -8,12 +12,12 @@ from pyspark.sql import types as T
 
 from mailsift.functions.text import strip
 
-# Levels of nested parts that are read; a mail nested deeper is rejected, not cut.
+# Levels of nested parts that one pass reads.
 DEPTH = 8
 
 
 def _part(level: int) -> T.StructType:
-    # The innermost level keeps its parts as raw text, only to notice that there are some.
+    # The innermost level keeps its parts as raw text, for the next pass.
     parts = T.ArrayType(_part(level + 1)) if level < DEPTH else T.StringType()
     fields = [
         T.StructField("mimeType", T.StringType()),
@@ -52,26 +56,44 @@ def _empty_like(array: Column) -> Column:
 
 
 def walk(part: Column, level: int = 0) -> Column:
-    """All parts of the tree in pre-order as (mime, filename, data)."""
+    """The parts of the tree in pre-order as (mime, filename, data, rest).
+
+    ``rest`` is the JSON of the parts below the innermost level; they follow right behind their parent.
+    """
+    parts = part["parts"]
+    rest = F.lit(None).cast("string")
+    if level == DEPTH:
+        rest = F.when(~F.trim(parts).isin("", "[]", "null"), parts)
     here = F.array(
         F.struct(
             part["mimeType"].alias("mime"),
             part["filename"].alias("filename"),
             part["body"]["data"].alias("data"),
+            rest.alias("rest"),
         )
     )
     if level == DEPTH:
         return here
-    below = F.flatten(F.transform(part["parts"], lambda p: walk(p, level + 1)))
+    below = F.flatten(F.transform(parts, lambda p: walk(p, level + 1)))
     return F.concat(here, F.coalesce(below, _empty_like(here)))
 
 
-def too_deep(part: Column, level: int = 0) -> Column:
-    """True when parts exist below the innermost level that is read."""
-    parts = part["parts"]
-    if level == DEPTH:
-        return F.coalesce(~F.trim(parts).isin("", "[]", "null"), F.lit(False))
-    return F.coalesce(F.exists(parts, lambda p: too_deep(p, level + 1)), F.lit(False))
+def unfinished(parts: Column) -> Column:
+    """True when some part has a rest to be read."""
+    return F.coalesce(F.exists(parts, lambda p: p["rest"].isNotNull()), F.lit(False))
+
+
+def deepened(parts: Column) -> Column:
+    """The parts with each rest replaced by the parts it holds, DEPTH levels further down."""
+    below = T.ArrayType(_part(1))
+
+    def opened(p: Column) -> Column:
+        here = F.array(F.struct(p["mime"].alias("mime"), p["filename"].alias("filename"), p["data"].alias("data"),
+                                F.lit(None).cast("string").alias("rest")))
+        found = F.flatten(F.transform(F.from_json(p["rest"], below), lambda q: walk(q, 1)))
+        return F.concat(here, F.coalesce(found, _empty_like(here)))
+
+    return F.flatten(F.transform(parts, opened))
 
 
 def decode_texts(data: Column) -> Column:

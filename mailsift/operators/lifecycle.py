@@ -48,19 +48,22 @@ def latest_promoted(runs: DataFrame) -> DataFrame:
     )
 
 
-def latest_attempts(runs: DataFrame) -> DataFrame:
-    """Per language the time of the latest attempt, deployed or skipped."""
+def attempt_rows(runs: DataFrame) -> DataFrame:
+    """lang and trained_at of every attempt, deployed or skipped."""
     versions = [v + suffix for v in RUN_VERSION.values() for suffix in ("", SKIPPED_SUFFIX)]
     base = F.regexp_replace("model_version", SKIPPED_SUFFIX + "$", "")
     return (
         runs.filter(F.col("model_version").isin(versions))  # reaches the scan
         .withColumn("model_version", base)
-        .withColumn("lang", _lang_of_version())
-        .groupBy("lang")
-        .agg(F.max("trained_at").alias("since"))
+        .select(_lang_of_version().alias("lang"), "trained_at")
     )
 
 
+def latest_attempts(runs: DataFrame) -> DataFrame:
+    """Per language the time of the latest attempt, deployed or skipped."""
+    return attempt_rows(runs).groupBy("lang").agg(F.max("trained_at").alias("since"))
+
+
 def _each_lang(spark) -> DataFrame:
     return spark.createDataFrame([(x,) for x in LANGS], "lang string")
 

@@ -17,6 +17,7 @@ from mailsift.functions.text import (
 )
 from mailsift.functions.verdict import pending_filter, to_tier, version_tag
 from mailsift.operators.allowlist import flag_trusted, override_verdict
+from mailsift.operators.pages import row_range
 from mailsift.operators.scaling import first_by, is_small, lookup_join, spread
 from mailsift.schema import PAGE_SIZE, VERSION_KO
 
@@ -76,52 +77,6 @@ def pending_page(
     return row_range(pending, page * size, size)
 
 
-def row_range(rows: DataFrame, offset: int, size: int, shallow: int = 10_000) -> DataFrame:
-    """Rows ``offset`` to ``offset + size`` in newest-first order.
-
-    Near the top a bounded sort serves. Deeper, counts by day, hour, ... and at last by id range
-    find the small slice the page starts in, so no task ever sorts or holds all rows above it.
-    Rows without a time come last on either path, as in the sort.
-    """
-    if offset + size <= shallow:
-        return rows.orderBy(F.desc("created_at"), F.desc("id")).offset(offset).limit(size)
-    micros = F.timestamp_diff("MICROSECOND", F.expr("timestamp_ntz'1970-01-01'"), F.col("created_at"))
-    pool, above, inside = rows, 0, shallow + 1
-    for unit in (86_400_000_000, 3_600_000_000, 60_000_000, 1_000_000, 1_000, 1):
-        if inside > shallow:
-            step = F.floor(micros / unit)
-            slot, above, inside = _slot(pool, step, offset, above)
-            if inside == 0:
-                return rows.limit(0)
-            pool = pool.filter(step.eqNullSafe(F.lit(slot)))
-    while inside > shallow:
-        low, high = pool.agg(F.min("id"), F.max("id")).first()
-        width = max(-(-(high - low + 1) // 4096), 1)
-        step = F.floor((F.col("id") - low) / width)
-        slot, above, inside = _slot(pool, step, offset, above)
-        pool = pool.filter(step == slot)
-    start = pool.select("created_at", "id").orderBy(F.desc("created_at"), F.desc("id")).offset(offset - above).limit(1).first()
-    if start[0] is None:
-        at_or_after = F.col("created_at").isNull() & (F.col("id") <= start[1])
-    else:
-        at_or_after = (
-            F.col("created_at").isNull()
-            | (F.col("created_at") < start[0])
-            | ((F.col("created_at") == start[0]) & (F.col("id") <= start[1]))
-        )
-    return rows.filter(at_or_after).orderBy(F.desc("created_at"), F.desc("id")).limit(size)
-
-
-def _slot(pool: DataFrame, step: Column, offset: int, above: int) -> tuple[int | None, int, int]:
-    """The slot holding row ``offset``, the rows above that slot, and the rows inside it (0: past the end)."""
-    counts = pool.groupBy(step.alias("u")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("u"))
-    for row in counts.toLocalIterator():
-        if above + row["n"] > offset:
-            return row["u"], above, row["n"]
-        above += row["n"]
-    return None, above, 0
-
-
 def history_rows(messages: DataFrame, n: int = 20) -> DataFrame:
     """The history list: time, label, percent, preview."""
     return newest(messages, n).select(

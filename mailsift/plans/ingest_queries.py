@@ -16,7 +16,7 @@ from mailsift.plans import sqltext as q
 from mailsift.plans.mail_queries import MESSAGES_SQL, SQL_TS, TS, messages
 from mailsift.plans.registry import query
 from mailsift.session import shared_dir
-from mailsift.sources import csv_files, maildrop
+from mailsift.sources import csv_files, listings, maildrop
 from mailsift.sources.tables import Store, save_predictions
 
 
@@ -104,6 +104,45 @@ def mime_rejects(spark, sf_dir):
     return maildrop.split_rejects(maildrop.parse(landed(spark, sf_dir)))[1].select("pos", "reject")
 
 
+def _levels(n: Column) -> Column:
+    return F.when(n > 0, F.sequence(F.lit(1), n.cast("int"))).otherwise(F.array().cast("array<int>"))
+
+
+def landed_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mail whose text lies 0 to 40 parts deep, every seventh level with a file name and a late decoy."""
+    d = F.col("id")
+    depth = d % 41
+    opened = F.transform(
+        _levels(depth),
+        lambda i: F.concat(
+            F.lit('{"mimeType":"multipart/mixed","filename":"'),
+            F.when(i % 7 == 0, F.concat(F.lit("f"), i.cast("string"))).otherwise(""),
+            F.lit('","parts":['),
+        ),
+    )
+    late = F.concat(F.lit(","), F.to_json(_leaf("text/plain", F.lit("late.txt"), F.lit("too late"))))
+    closed = F.transform(F.reverse(_levels(depth)), lambda i: F.concat(F.when(i % 7 == 0, late).otherwise(""), F.lit("]}")))
+    leaf = F.to_json(_leaf("text/plain", F.col("attachment"), F.col("body")))
+    payload = F.concat(F.array_join(opened, ""), leaf, F.array_join(closed, ""))
+    raw = F.concat(F.lit('{"id":"m'), d.cast("string"), F.lit('","payload":'), payload, F.lit("}"))
+    return spread(fx.mail(spark, sf_dir), "id").select(d.alias("pos"), raw.alias("raw"))
+
+
+@query(
+    "mime_deep",
+    _MIME_SQL
+    + f"""SELECT id AS pos, 'm' || id AS gmail_id, {q.strip('body')} AS body, array_to_string(
+  list_transform(list_filter(range(1, (id % 41 + 1)::INT), lambda i: i % 7 = 0), lambda i: 'f' || i)
+  || CASE WHEN attachment <> '' THEN [attachment] ELSE [] END
+  || list_transform(list_filter(range(1, (id % 41 + 1)::INT), lambda i: i % 7 = 0), lambda i: 'late.txt'), ' ') AS attachment
+FROM mail""",
+)
+def mime_deep(spark, sf_dir):
+    """Texts and file names found at any depth."""
+    mail, _ = maildrop.split_rejects(maildrop.parse(landed_deep(spark, sf_dir)))
+    return mail.select("pos", "gmail_id", "body", "attachment")
+
+
 @query(
     "fetch_recent",
     _MIME_SQL
@@ -115,8 +154,58 @@ def fetch_recent(spark, sf_dir):
     listing = fx.table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("pos"), F.concat(F.lit("m"), F.col("doc_id").cast("string")).alias("gmail_id")
     )
-    mail, _ = maildrop.split_rejects(maildrop.parse(landed(spark, sf_dir)))
-    return maildrop.fetch_recent(listing, mail).select("pos", "gmail_id", "subject")
+    mail, _ = maildrop.fetch_landed(listing, landed(spark, sf_dir))
+    return mail.select("pos", "gmail_id", "subject")
+
+
+def landed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five listings in pages of twenty: the fourth lacks its third page, the fifth's last page leads back."""
+    d = F.col("doc_id")
+    rows = fx.table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("L"), (d % 5).cast("string")).alias("listing"), F.expr("doc_id div 100").alias("page"), d
+    )
+    ids = F.array_sort(F.collect_list(F.struct("doc_id")))
+    pages = rows.groupBy("listing", "page").agg(F.transform(ids, lambda x: F.struct(
+        F.concat(F.lit("m"), x["doc_id"].cast("string")).alias("id"))).alias("messages"))
+    last = rows.groupBy("listing").agg(F.max("page").alias("last"))
+
+    def token(page: Column) -> Column:
+        return F.md5(F.concat_ws("|", "listing", page.cast("string")))
+
+    page = F.col("page")
+    after = F.when(page < F.col("last"), token(page + 1)).when(F.col("listing") == "L4", token(F.lit(1)))
+    kept = pages.join(last, "listing").filter("NOT (listing = 'L3' AND page = 2)")
+    whole = F.struct("listing", F.when(page > 0, token(page)).alias("pageToken"), "messages", after.alias("nextPageToken"))
+    return kept.select(F.xxhash64("listing", "page").alias("landed"), F.to_json(whole).alias("raw"))
+
+
+_PAGES_SQL = """
+WITH ids AS (SELECT doc_id, 'L' || doc_id % 5 AS listing, doc_id // 100 AS page FROM documents)
+"""
+
+
+@query(
+    "listing_order",
+    _PAGES_SQL
+    + """SELECT listing, row_number() OVER (PARTITION BY listing ORDER BY doc_id) - 1 AS pos, 'm' || doc_id AS gmail_id
+FROM ids WHERE listing IN ('L0', 'L1', 'L2') OR listing = 'L3' AND page < 2""",
+)
+def listing_order(spark, sf_dir):
+    """Ids of paged listings, whose pages come in no order, in theirs."""
+    ranked, _ = listings.rank_pages(listings.parse_pages(landed_pages(spark, sf_dir)))
+    return listings.listed_ids(ranked)
+
+
+@query(
+    "listing_rejects",
+    _PAGES_SQL
+    + """, pages AS (SELECT DISTINCT listing, page, CASE WHEN page > 0 THEN md5(listing || '|' || page) ELSE '' END AS token FROM ids)
+SELECT listing, token, CASE WHEN listing = 'L4' THEN 'ring' WHEN page = 2 THEN 'page missing' ELSE 'not reached' END AS reject
+FROM pages WHERE listing = 'L4' OR listing = 'L3' AND page >= 2""",
+)
+def listing_rejects(spark, sf_dir):
+    """Pages behind a gap, the missing one, and all of a listing that runs into itself."""
+    return listings.rank_pages(listings.parse_pages(landed_pages(spark, sf_dir)))[1]
 
 
 # ---- files and the store ------------------------------------------------------------------

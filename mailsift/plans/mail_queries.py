@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from mailsift import schema as S
 from mailsift.functions import text as tx
 from mailsift.functions import verdict as vd
-from mailsift.operators import allowlist, mailbox
+from mailsift.operators import allowlist, mailbox, pages
 from mailsift.operators.scaling import spread
 from mailsift.plans import fixtures as fx
 from mailsift.plans import sqltext as q
@@ -221,6 +221,47 @@ def deep_row_range(spark, sf_dir):
     return mailbox.row_range(rows, 150, 25, shallow=100).select("id")
 
 
+_TIED_SQL = """, tied AS (
+  SELECT id // 10 AS id, TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST(id // 50 AS INTEGER)) AS created_at FROM mail)
+"""
+
+
+def _tied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that are equal ten at a time, as a repeated load leaves them."""
+    return fx.mail(spark, sf_dir).select(
+        F.expr("id div 10").alias("id"),
+        F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, CAST(id div 50 AS INT))").alias("created_at"),
+    )
+
+
+@query(
+    "cursor_pages",
+    fx.with_views(fx.MAIL_SQL).rstrip()
+    + _TIED_SQL
+    + """SELECT (row_number() OVER (ORDER BY created_at DESC, id DESC) - 1) // (count(*) OVER () // 5 + 1) AS page, id FROM tied""",
+)
+def cursor_pages(spark, sf_dir):
+    """All pages of a table full of ties, each from where the last one ended."""
+    rows = _tied(spark, sf_dir)
+    size = rows.count() // 5 + 1
+    found, cursor, number = None, None, 0
+    while True:
+        page, cursor = pages.page_after(rows, cursor and pages.Cursor.of(cursor.token()), size)
+        if cursor is None:
+            return found
+        page = page.select(F.lit(number).cast("bigint").alias("page"), "id")
+        found, number = page if found is None else found.unionByName(page), number + 1
+
+
+@query(
+    "deep_tied_page",
+    fx.with_views(fx.MAIL_SQL).rstrip() + _TIED_SQL + "SELECT id FROM tied ORDER BY created_at DESC, id DESC LIMIT 25 OFFSET 157",
+)
+def deep_tied_page(spark, sf_dir):
+    """A page by number below the reach of a sort, among rows that are equal throughout."""
+    return pages.row_range(_tied(spark, sf_dir), 157, 25, shallow=5).select("id")
+
+
 @query(
     "pending_count",
     _MESSAGES

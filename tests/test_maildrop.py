@@ -1,8 +1,9 @@
 import base64
 import json
+import random
 
 from mailsift.functions import mime
-from mailsift.sources import maildrop
+from mailsift.sources import listings, maildrop
 
 
 def b64(data):
@@ -117,10 +118,90 @@ def test_base64_without_padding_or_with_breaks(spark):
     assert [r["reject"] for r in got] == [None, None, None, "bad base64", None]
 
 
-def test_depth_limit_rejects_and_does_not_cut(spark):
-    ok, deep = rows(spark, message("a", **nested(mime.DEPTH)), message("b", **nested(mime.DEPTH + 1)))
-    assert (ok["body"], ok["reject"]) == (f"level {mime.DEPTH}", None)
-    assert deep["reject"] == "nested too deep"
+def test_mail_of_any_depth_is_read(spark):
+    depths = [0, mime.DEPTH, mime.DEPTH + 1, 2 * mime.DEPTH + 1, 40, 300]
+    got = rows(spark, *[message(f"m{n}", **nested(n)) for n in depths])
+    assert [(r["body"], r["reject"]) for r in got] == [(f"level {n}", None) for n in depths]
+
+
+def test_parts_below_a_pass_keep_their_place(spark):
+    """Pre-order over passes: what lies deep in an early part comes before a shallow later one."""
+    deep = nested(mime.DEPTH + 3)
+    deep["filename"] = "first.txt"
+    below = deep
+    while below.get("parts"):
+        below = below["parts"][0]
+    below["filename"] = "deep.txt"
+    shallow = {"mimeType": "text/plain", "filename": "last.txt", "body": {"data": b64("later")}}
+    row = rows(spark, message("m", mimeType="multipart/mixed", parts=[deep, shallow]))[0]
+    assert (row["body"], row["attachment"]) == (f"level {mime.DEPTH + 3}", "first.txt deep.txt last.txt")
+
+
+def test_deep_rows_keep_their_rejects(spark):
+    part = nested(mime.DEPTH + 2)
+    below = part
+    while below.get("parts"):
+        below = below["parts"][0]
+    below["body"]["data"] = "a"
+    bad, unnamed = rows(spark, message("b", **part), {"payload": nested(20)})
+    assert (bad["reject"], unnamed["reject"], unnamed["body"]) == ("bad base64", "no id", "level 20")
+
+
+def test_nesting_beyond_the_reader_is_malformed(spark):
+    raw = '{"id":"m","payload":' + '{"parts":[' * 2000 + "]}" * 2000 + "}"
+    assert [(r["gmail_id"], r["reject"]) for r in rows(spark, raw, message("n"))] == [(None, "malformed"), ("n", None)]
+
+
+def test_only_wanted_responses_are_parsed(spark):
+    sent = [message("a"), message("b"), message("a", "again"), '{"id": "c", "payl', '{"id": "d", "payl', "nonsense"]
+    raw = spark.createDataFrame([(i, m if isinstance(m, str) else json.dumps(m)) for i, m in enumerate(sent)], "pos long, raw string")
+    mail, rejects = maildrop.fetch_landed(listed(spark, "c", "a"), raw, 2)
+    assert [(r["gmail_id"], r["subject"]) for r in mail.collect()] == [("a", "again")]
+    assert {r["pos"] for r in rejects.collect()} <= {3}
+
+
+def pages(spark, *chain):
+    """(listing, token, ids, next) rows as landed pages."""
+    raw = [
+        (i, json.dumps({"listing": li, "pageToken": t, "messages": [{"id": x} for x in ids], "nextPageToken": n}))
+        for i, (li, t, ids, n) in enumerate(chain)
+    ]
+    ranked, rejects = listings.rank_pages(listings.parse_pages(spark.createDataFrame([*raw, (99, "no page")], "landed long, raw string")))
+    order = [(r["listing"], r["pos"], r["gmail_id"]) for r in listings.listed_ids(ranked).orderBy("listing", "pos").collect()]
+    return order, sorted((r["listing"], r["token"], r["reject"]) for r in rejects.collect())
+
+
+def test_pages_follow_their_tokens(spark):
+    rng = random.Random(2)
+    names = [f"t{i}" for i in range(37)]
+    chain = [("x", ([None, *names])[i], [f"m{i}.{k}" for k in range(i % 4)], (names + [None])[i]) for i in range(38)]
+    want = [x for page in chain for x in page[2]]
+    rng.shuffle(chain)
+    order, rejects = pages(spark, *chain, ("y", None, ["only"], ""))
+    assert order == [("x", i, m) for i, m in enumerate(want)] + [("y", 0, "only")]
+    assert rejects == []
+
+
+def test_broken_chains_are_rejected(spark):
+    order, rejects = pages(
+        spark,
+        ("gap", None, ["a"], "1"), ("gap", "2", ["c"], None),
+        ("ring", None, ["a"], "1"), ("ring", "1", [], "2"), ("ring", "2", [], "1"),
+        ("headless", "1", ["a"], None),
+        ("own", "1", ["a"], "1"), ("own", None, ["z"], None),
+        ("joined", None, ["a"], "1"), ("joined", "stray", ["s"], "1"), ("joined", "1", ["b"], None),
+        ("again", None, ["old"], None), ("again", None, ["new"], None),
+    )
+    assert order == [("again", 0, "new"), ("gap", 0, "a"), ("joined", 0, "a"), ("joined", 1, "b"), ("own", 0, "z")]
+    assert rejects == [
+        ("gap", "1", "page missing"), ("gap", "2", "not reached"), ("headless", "1", "not reached"),
+        ("joined", "stray", "not reached"), ("own", "1", "not reached"),
+        ("ring", "", "ring"), ("ring", "1", "ring"), ("ring", "2", "ring"),
+    ]
+
+
+def test_no_pages(spark):
+    assert pages(spark) == ([], [])
 
 
 def test_malformed_rows_go_to_the_rejects(spark):
