@@ -37,7 +37,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from mailsift.llm.frames import struct_of
 from mailsift.operators.scaling import cut_lineage, lookup_join
 
-# Words the trees' tops are fitted on, at most; every word is indexed whatever they are.
+# Words the trees' tops are fitted on, about; every word is indexed whatever they are.
 SAMPLE = 100_000
 # Words in a cell, and queries in a slice of one, about.
 CELL = 4_096
@@ -339,9 +339,11 @@ def near_words(words: DataFrame, sample: int = SAMPLE, cell: int = CELL, queries
     shortest = lengths.agg(F.min("m")).first()[0] or 1
     trees: dict[int, Split | int] = {}
     if sizes:
-        drawn = sized.filter(F.col("_length").isin(list(sizes))).orderBy(F.xxhash64("word"), "word").limit(sample)
+        # About ``sample`` words, by their hash; every task sends its own share of them and no more.
+        part = min(1.0, sample / sum(sizes.values()))
+        drawn = F.pmod(F.xxhash64("word"), F.lit(1 << 30)) < int(part * (1 << 30))
         by_length = defaultdict(list)
-        for r in drawn.select("word").collect():
+        for r in sized.filter(F.col("_length").isin(list(sizes)) & drawn).select("word").collect():
             by_length[len(r.word)].append(r.word)
         trees = {k: grow(letters(w, k), sizes[k], _limit(k, cell)) for k, w in by_length.items()}
 
