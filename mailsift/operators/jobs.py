@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mailsift.operators import lifecycle, mailbox
-from mailsift.operators.allowlist import current_list
 from mailsift.operators.model import LanguageModel, score_routed, train_and_evaluate
 from mailsift.operators.scaling import cut_lineage
 from mailsift.schema import RUN_VERSION, SKIPPED_SUFFIX, TIER_LABELS, in_domain
+from mailsift.sources.snapshots import DEPLOYED, TRUST, Snapshots
 from mailsift.sources.tables import Store, save_predictions, save_reports, save_run
 
 log = logging.getLogger(__name__)
@@ -31,7 +31,7 @@ def scored_batch(fetched: DataFrame, stored: DataFrame, patterns: DataFrame, sco
 
 def mailbox_pass(store: Store, fetched: DataFrame, models: Mapping[str, LanguageModel]) -> tuple[int, int]:
     """Score and store new mail; returns (saved, fetched). Rows refused by the store count as fetched only."""
-    patterns = current_list(store.read("trust_log"))
+    patterns = Snapshots(store, TRUST).state()
     fetched = cut_lineage(fetched)  # parsed once, then read for its ids, its rows and its count
     fresh = cut_lineage(mailbox.model_input(mailbox.new_mail(fetched, store.read("messages"))))
     rows = cut_lineage(mailbox.fetched_messages(score_routed(fresh, models), patterns))
@@ -41,7 +41,7 @@ def mailbox_pass(store: Store, fetched: DataFrame, models: Mapping[str, Language
 
 def load_models(store: Store) -> dict[str, LanguageModel]:
     """The deployed model of each language, read from where the registry points."""
-    in_use = lifecycle.deployed(store.read("registry"))
+    in_use = Snapshots(store, DEPLOYED).state()
     return {r["lang"]: LanguageModel.load(r["lang"], r["path"]) for r in in_use.toLocalIterator()}
 
 

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from mailsift.functions.text import collapse
 from mailsift.operators import augment, mailbox
@@ -13,10 +14,11 @@ from mailsift.operators.features import load_vocabulary, save_vocabulary, vocabu
 from mailsift.operators.scaling import cut_lineage, spread
 from mailsift.plans import fixtures as fx
 from mailsift.plans import sqltext as q
-from mailsift.plans.mail_queries import MESSAGES_SQL, SQL_TS, TS, messages
+from mailsift.plans.mail_queries import MESSAGES_SQL, SQL_TS, TS, list_sql, messages
 from mailsift.plans.registry import query
 from mailsift.session import shared_dir
 from mailsift.sources import csv_files, listings, maildrop
+from mailsift.sources.snapshots import ACTIONS, TRUST, Snapshots
 from mailsift.sources.tables import Store, save_predictions
 
 
@@ -292,6 +294,57 @@ def store_reports(spark, sf_dir):
     return store.read("user_reports").select("content", "user_label", "note")
 
 
+def _trust_snapshots(spark: SparkSession, sf_dir: str) -> Snapshots:
+    """The allowlist log in three appends with a snapshot after the first and second; some rows of the first come last."""
+    store = Store(spark, scratch(spark, "store"))
+    log = fx.trust_log(spark, sf_dir)
+    top = log.agg(F.max("id")).first()[0]
+    held = (F.col("id") % 50 == 7) & (F.col("id") < top / 3)
+    snapshots = Snapshots(store, TRUST)
+    store.append("trust_log", log.filter((F.col("id") < top / 3) & ~held))
+    snapshots.take()
+    store.append("trust_log", log.filter((F.col("id") >= top / 3) & (F.col("id") < 2 * top / 3)))
+    snapshots.take()
+    store.append("trust_log", log.filter((F.col("id") >= 2 * top / 3) | held))
+    return snapshots
+
+
+@query("trust_snapshot", list_sql("true"))
+def trust_snapshot(spark, sf_dir):
+    """The allowlist from a snapshot, the rows after it, and rows that came late."""
+    return _trust_snapshots(spark, sf_dir).state().withColumn("created_at", F.date_format("created_at", TS))
+
+
+@query(
+    "trust_late_rows",
+    fx.with_views(fx.TRUST_LOG_SQL)
+    + f"""SELECT lower({q.strip('pattern')}) AS pattern, count(*) AS n FROM trust_log
+WHERE id % 50 = 7 AND id < (SELECT max(id) FROM trust_log) / 3 GROUP BY 1""",
+)
+def trust_late_rows(spark, sf_dir):
+    return _trust_snapshots(spark, sf_dir).late()
+
+
+@query(
+    "actions_snapshot",
+    fx.with_views(fx.PICKED_SQL)
+    + f"""SELECT gmail_id, strftime(TIMESTAMP '2024-01-01 00:00:00'
+  + to_minutes(CAST(min(CAST(substr(gmail_id, 2) AS BIGINT) % 7) AS INTEGER)), '{SQL_TS}') AS acted_at FROM picked GROUP BY gmail_id""",
+)
+def actions_snapshot(spark, sf_dir):
+    """First actions on mails, logged in seven appends with repeats, from a snapshot and what follows."""
+    store = Store(spark, scratch(spark, "store"))
+    number = F.substring("gmail_id", 2, 30).cast("long") % 7
+    picked = fx.picked_ids(spark, sf_dir).withColumn("_at", number)
+    snapshots = Snapshots(store, ACTIONS)
+    for i in range(7):
+        at = F.expr(f"timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, {i})")
+        store.append("action_log", picked.filter(F.col("_at") <= i).select("gmail_id", at.alias("acted_at")))
+        if i in (2, 4):
+            snapshots.take()
+    return snapshots.state().withColumn("acted_at", F.date_format("acted_at", TS))
+
+
 @query(
     "vocabulary_saved",
     f"""WITH each AS (SELECT doc_id, unnest(t) AS token, generate_subscripts(t, 1) AS pos
@@ -308,6 +361,23 @@ def vocabulary_saved(spark, sf_dir):
     return load_vocabulary(spark, path)
 
 
+@query(
+    "csv_split_records",
+    "SELECT CAST(doc_id AS VARCHAR) AS doc_id, text FROM documents",
+)
+def csv_split_records(spark, sf_dir):
+    """Whole texts with their line breaks and quotes as CSV, read back in splits of a megabyte."""
+    path = scratch(spark, "csv")
+    fx.table(spark, sf_dir, "documents").select("doc_id", "text").write.options(header=True, escape='"').csv(path)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")
+    try:
+        rows = csv_files.read_csv_any(spark, csv_files.glob_files(spark, f"{path}/*.csv"))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    return rows.select("doc_id", "text")
+
+
 # ---- synthetic mail -----------------------------------------------------------------------
 _TEMPLATES_SQL = """
 templates AS (
@@ -414,3 +484,40 @@ SELECT id, label, row_number() OVER (PARTITION BY label ORDER BY {q.seeded("'dem
 def augment_demo_split(spark, sf_dir):
     pool = cut_lineage(augment.distinct_pool(cut_lineage(_made(spark, sf_dir)), "id", 700))
     return augment.mark_demo(pool, "id").select("id", "label", "is_demo")
+
+
+_POOL_SQL = """
+templates AS (SELECT p_brand AS label, '{place} ' || p_name AS subject, p_name || ' on {day} {other}' AS body FROM part),
+spots AS (SELECT DISTINCT r_name AS place FROM region), days AS (SELECT unnest(['Monday', 'Friday']) AS day),
+files AS (SELECT unnest(['', ' 첨부파일 a.pdf']) AS file), links AS (SELECT unnest(['', ' http://bit.ly/a1', ' goo.gl/b2']) AS link),
+every AS (
+  SELECT label, count(DISTINCT replace(subject, '{place}', place) || ' ' || replace(body, '{day}', day) || file || link) AS most
+  FROM templates, spots, days, files, links GROUP BY label)
+"""
+
+
+@query(
+    "augment_filled",
+    "WITH " + _POOL_SQL
+    + """SELECT label, CAST(200 + 60 * (ascii(right(label, 1)) % 10) AS BIGINT) AS n,
+  least(most, 200 + 60 * (ascii(right(label, 1)) % 10)) AS got FROM every""",
+)
+def augment_filled(spark, sf_dir):
+    """How many distinct texts each brand's templates give of those wanted: all, or all there are."""
+    part = fx.table(spark, sf_dir, "part")
+    label = F.col("p_brand")
+    own = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")) - 1
+    templates = part.select(
+        label.alias("label"),
+        own.cast("long").alias("idx"),
+        F.concat(F.lit("{place} "), F.col("p_name")).alias("subject"),
+        F.concat(F.col("p_name"), F.lit(" on {day} {other}")).alias("body"),
+    )
+    region = fx.table(spark, sf_dir, "region").agg(F.collect_set("r_name").alias("l"))
+    slots = F.create_map(F.lit("place"), region.select("l").scalar(), F.lit("day"), F.array(F.lit("Monday"), F.lit("Friday")))
+    wanted = 200 + 60 * (F.ascii(F.right(F.col("label"), F.lit(1))) % 10)
+    quotas = templates.select("label").distinct().select("label", wanted.cast("bigint").alias("n"))
+    links = F.array(F.lit("http://bit.ly/a1"), F.lit("goo.gl/b2"))
+    pool, _ = augment.filled_pool(quotas, templates, slots, links, F.array(F.lit(""), F.lit("a.pdf")))
+    counts = pool.groupBy("label").agg(F.count_distinct("text").alias("got"))
+    return quotas.join(counts, "label").select("label", "n", "got")

@@ -144,7 +144,7 @@ def trust_domains_from_ids(spark, sf_dir):
     return allowlist.patterns_from_ids(fx.mail(spark, sf_dir), fx.picked_ids(spark, sf_dir), True)
 
 
-def _list_sql(log_filter: str) -> str:
+def list_sql(log_filter: str) -> str:
     return fx.with_views(fx.TRUST_LOG_SQL) + f""", log AS (
   SELECT id, lower({q.strip('pattern')}) AS pattern, note, op, created_at FROM trust_log),
 live AS (
@@ -159,18 +159,18 @@ def _listed(rows: DataFrame) -> DataFrame:
     return rows.withColumn("created_at", F.date_format("created_at", TS))
 
 
-@query("trust_upsert", _list_sql("a.op = 'add'"))
+@query("trust_upsert", list_sql("a.op = 'add'"))
 def trust_upsert(spark, sf_dir):
     log = fx.trust_log(spark, sf_dir).filter("op = 'add'")
     return _listed(allowlist.current_list(allowlist.add_rows(log)))
 
 
-@query("trust_remove", _list_sql("true"))
+@query("trust_remove", list_sql("true"))
 def trust_remove(spark, sf_dir):
     return _listed(allowlist.current_list(fx.trust_log(spark, sf_dir)))
 
 
-@query("trust_list", _list_sql("true") + " ORDER BY created_at DESC, id DESC")
+@query("trust_list", list_sql("true") + " ORDER BY created_at DESC, id DESC")
 def trust_list(spark, sf_dir):
     return _listed(allowlist.newest_first(allowlist.current_list(fx.trust_log(spark, sf_dir))))
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from mailsift.functions.verdict import is_spam
 from mailsift.schema import CORPUS
 from mailsift.session import RUNTIME_CONF
+from mailsift.sources.csv_split import file_path, quotes, read_split
 
 # Cell texts read as missing, as the usual CSV reader of Python does.
 MISSING = (
@@ -21,24 +22,33 @@ KOREAN_CHARSET = "MS949"
 
 
 def file_encodings(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """path, encoding, header: UTF-8 where every line is valid UTF-8, else the Korean charset.
+    """path, encoding, header, breaks: UTF-8 where every line is valid UTF-8, else the Korean charset.
 
     Lines are tested as raw bytes, so big files are checked in splits. Line breaks are the same
-    byte in both charsets. ``header`` is a digest of the first line's bytes.
+    byte in both charsets. ``header`` is a digest of the first line's bytes. ``breaks`` says that some
+    line has an odd number of quotes, so that quoted fields may go on over lines.
     """
-    # The metadata path is URL-encoded, save that a plus sign stays as it is.
-    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     at = F.when(F.col("_metadata.file_block_start") == 0, F.monotonically_increasing_id())
     lines = spark.read.text(list(paths)).select(
-        path.alias("path"), F.is_valid_utf8("value").alias("ok"), F.struct(at.alias("at"), "value").alias("line")
+        file_path().alias("path"),
+        F.is_valid_utf8("value").alias("ok"),
+        (quotes() % 2 == 1).alias("odd"),
+        F.struct(at.alias("at"), "value").alias("line"),
     )
     first = F.min(F.when(F.col("line.at").isNotNull(), F.col("line")))["value"]
     return lines.groupBy("path").agg(
         F.when(F.bool_and("ok"), "UTF-8").otherwise(KOREAN_CHARSET).alias("encoding"),
         F.md5(first.cast("binary")).alias("header"),
+        F.bool_or("odd").alias("breaks"),
     )
 
 
+def _plain_csv(spark: SparkSession, files: Sequence[str], encoding: str, multi_line: bool) -> DataFrame:
+    options = {"header": True, "multiLine": multi_line, "encoding": encoding, "escape": '"'}
+    part = spark.read.options(**options).csv(list(files))
+    return part.withColumn("ord", F.monotonically_increasing_id())
+
+
 def read_csv_any(
     spark: SparkSession, paths: str | Sequence[str], multi_line: bool = True, as_text: bool = True
 ) -> DataFrame:
@@ -46,27 +56,29 @@ def read_csv_any(
 
     Files are read in groups of one encoding and header, in the order of each group's first path,
     and united by column name. Bytes that fit neither encoding are replaced; a missing file raises
-    at once. ``ord`` is unique over all files and follows the reading order. Quoted line breaks need ``multi_line``, which makes a file one split; pass
-    False for large files without them.
+    at once. ``ord`` is unique over all files and follows the reading order.
+
+    Every file is read in splits, also where quoted fields hold line breaks (``csv_split``). Only a file
+    whose quotes do not pair up is one split. ``multi_line=False`` takes every line for a record.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     if spark.conf.get("spark.sql.legacy.javaCharsets", "false") != "true":
         spark.conf.set("spark.sql.legacy.javaCharsets", RUNTIME_CONF["spark.sql.legacy.javaCharsets"])
-    groups: dict[tuple[str, str], list[str]] = {}
+    groups: dict[tuple[str, str, bool], list[str]] = {}
     for row in file_encodings(spark, paths).orderBy("path").toLocalIterator():
-        groups.setdefault((row["encoding"], row["header"]), []).append(row["path"])
+        groups.setdefault((row["encoding"], row["header"], multi_line and row["breaks"]), []).append(row["path"])
+    parts: list[DataFrame] = []
+    for (encoding, _, breaks), files in groups.items():
+        if breaks:
+            part, files = read_split(spark, files, encoding)
+            parts += [] if part is None else [part]
+        if files:
+            parts.append(_plain_csv(spark, files, encoding, breaks))
     out = None
-    for number, ((encoding, _), files) in enumerate(groups.items()):
-        part = (
-            spark.read.option("header", True)
-            .option("multiLine", multi_line)
-            .option("encoding", encoding)
-            .option("escape", '"')
-            .csv(files)
-        )
-        names = part.columns
-        # The id has its task number above 33 bits; the group stands above 2**17 tasks.
-        part = part.withColumn("ord", F.monotonically_increasing_id() + (number << 50))
+    for number, part in enumerate(parts):
+        names = [c for c in part.columns if c != "ord"]
+        # What orders the rows of a group stays below 63 bits with the group's number above it.
+        part = part.withColumn("ord", F.col("ord") + (number << 50))
         if as_text:
             part = part.withColumns({c: F.when(~F.col(c).isin(*MISSING), F.col(c)) for c in names})
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)

@@ -96,7 +96,7 @@ def test_cursor_bound_reaches_the_scan(spark, tmp_path):
     plan = pages.page_after(df, cursor, 5)[0]._jdf.queryExecution().executedPlan().toString()
     spark.conf.unset("spark.sql.maxMetadataStringLength")
     assert "LessThanOrEqual(created_at,2024-01-01T14:00)" in plan
-    assert "GreaterThanOrEqual(created_at,2024-01-01T09:00)" in plan
+    assert "GreaterThanOrEqual(created_at,2024-01-01T11:00)" in plan
 
 
 def test_empty_table(spark):
