@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from mailsift.functions.text import tokens
-from mailsift.operators.scaling import BROADCAST_ROWS, HashLookup, cut_lineage, lookup_join, spread
+from mailsift.operators.scaling import BROADCAST_ROWS, HashLookup, cut_lineage, lookup_join, size_up_to, spread
 from mailsift.schema import (
     EN_MAX_LEN,
     EN_VOCAB_SIZE,
@@ -27,16 +27,25 @@ LOOKUP_ROWS = 1_000_000
 VOCAB_SIZE = {"ko": KO_VOCAB_SIZE, "en": EN_VOCAB_SIZE}
 
 
-def token_counts(corpus: DataFrame, lang: str, order: str, copies: str | None = None) -> DataFrame:
+def _tokens(lang: str, words: str | None) -> Column:
+    """The token arrays of ``words`` where they are at hand, else those of the text."""
+    return F.col(words) if words else tokens("text", lang)
+
+
+def token_counts(
+    corpus: DataFrame, lang: str, order: str, copies: str | None = None, words: str | None = None
+) -> DataFrame:
     """Per token: how often it occurs and the smallest ``order`` value of a row holding it.
 
     Both are plain longs, summed by hash before the shuffle: a token that occurs everywhere
-    costs one row per task. ``copies`` names a column with how often a row counts.
+    costs one row per task. ``copies`` names a column with how often a row counts, ``words`` one
+    with the tokens, if they were made before.
     """
     times = F.col(copies) if copies else F.lit(1)
-    rows = spread(corpus.select(F.col(order).alias("first_row"), times.cast("bigint").alias("n"), "text"), "first_row")
+    kept = corpus.select(F.col(order).alias("first_row"), times.cast("bigint").alias("n"), words or "text")
+    rows = kept if words else spread(kept, "first_row")
     return (
-        rows.select("first_row", "n", F.explode(tokens("text", lang)).alias("token"))
+        rows.select("first_row", "n", F.explode(_tokens(lang, words)).alias("token"))
         .groupBy("token")
         .agg(F.sum("n").alias("n"), F.min("first_row").alias("first_row"))
     )
@@ -50,6 +59,7 @@ def vocabulary(
     max_size: int | None = None,
     specials: bool = False,
     copies: str | None = None,
+    words: str | None = None,
 ) -> DataFrame:
     """token and id: most frequent first, ties by first appearance, ids from 2.
 
@@ -58,7 +68,7 @@ def vocabulary(
     tokens that can make the cut, in their first rows (at most ``max_size`` and one row's tokens).
     """
     size = max_size or VOCAB_SIZE[lang]
-    counted = cut_lineage(token_counts(corpus, lang, order, copies).filter(F.col("n") >= min_freq))
+    counted = cut_lineage(token_counts(corpus, lang, order, copies, words).filter(F.col("n") >= min_freq))
     last = (
         counted.orderBy(F.desc("n"), "first_row")
         .limit(size)
@@ -71,11 +81,11 @@ def vocabulary(
     firsts = tied.select(F.col("first_row").alias(order)).distinct()
     # Only a vocabulary size within the broadcast limit bounds the two sides below without a count.
     bounded = size <= BROADCAST_ROWS
-    wanted = lookup_join(corpus.select(order, "text"), firsts, [order], "left_semi", right_is_bounded=bounded)
-    in_row = spread(wanted, order)
+    wanted = lookup_join(corpus.select(order, words or "text"), firsts, [order], "left_semi", right_is_bounded=bounded)
+    in_row = wanted if words else spread(wanted, order)
     placed = in_row.select(
         F.col(order).alias("first_row"),
-        F.posexplode(F.array_distinct(tokens("text", lang))).alias("first_pos", "token"),
+        F.posexplode(F.array_distinct(_tokens(lang, words))).alias("first_pos", "token"),
     )
     places = lookup_join(placed, tied, ["token", "first_row"], "left_semi", right_is_bounded=bounded)
     rank = (F.desc("n"), F.asc("first_row"), F.asc("first_pos"))
@@ -103,11 +113,11 @@ def with_token_ids(
 ) -> DataFrame:
     """Add the ids of the first ``max_len`` tokens, unknown tokens as 1; no padding.
 
-    ``vocab`` holds at most ``vocab_rows`` rows (the size it was cut to). Up to LOOKUP_ROWS the
+    ``vocab`` is counted, unless ``vocab_rows`` says how many rows it was cut to. Up to LOOKUP_ROWS the
     rows are encoded where they are, by a lookup. A larger vocabulary is joined token by token,
     which needs ``key``, a unique column of ``rows``; frequent tokens are kept out of that shuffle.
     """
-    size = vocab_rows or VOCAB_SIZE[lang] + UNK_ID + 1
+    size = vocab_rows or size_up_to(vocab, LOOKUP_ROWS)
     cut = F.slice(tokens(text, lang), 1, max_len or MAX_LEN[lang])
 
     def known(found: Column) -> Column:

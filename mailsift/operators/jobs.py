@@ -14,7 +14,7 @@ from mailsift.operators.model import LanguageModel, score_routed, train_and_eval
 from mailsift.operators.scaling import cut_lineage
 from mailsift.schema import RUN_VERSION, SKIPPED_SUFFIX, TIER_LABELS, in_domain
 from mailsift.sources.snapshots import DEPLOYED, TRUST, Snapshots
-from mailsift.sources.tables import Store, save_predictions, save_reports, save_run
+from mailsift.sources.tables import Store, save_predictions, save_rejects, save_reports, save_run
 
 log = logging.getLogger(__name__)
 
@@ -30,10 +30,18 @@ def scored_batch(fetched: DataFrame, stored: DataFrame, patterns: DataFrame, sco
 
 
 def mailbox_pass(store: Store, fetched: DataFrame, models: Mapping[str, LanguageModel]) -> tuple[int, int]:
-    """Score and store new mail; returns (saved, fetched). Rows refused by the store count as fetched only."""
+    """Score and store new mail; returns (saved, fetched). Rows refused by the store count as fetched only.
+
+    ``fetched`` is read for its ids, for its rows and for its count: hand in a written table, as
+    ``maildrop.parse`` returns. New mail is written by language, so every model reads its own alone. Mail
+    without an id goes to the rejects.
+    """
     patterns = Snapshots(store, TRUST).state()
-    fetched = cut_lineage(fetched)  # parsed once, then read for its ids, its rows and its count
-    fresh = cut_lineage(mailbox.model_input(mailbox.new_mail(fetched, store.read("messages"))))
+    refused = fetched.filter(F.col("gmail_id").isNull())
+    if refused.limit(1).count():
+        save_rejects(store, "messages", refused, F.lit("no id"))
+    new = mailbox.new_mail(fetched, store.read("messages"))
+    fresh = cut_lineage(mailbox.model_input(new), by="lang")
     rows = cut_lineage(mailbox.fetched_messages(score_routed(fresh, models), patterns))
     save_predictions(store, rows)
     return rows.filter(in_domain("predicted_label", TIER_LABELS)).count(), fetched.count()
@@ -57,7 +65,7 @@ def retrain_round(store: Store, corpora: Mapping[str, DataFrame], at: datetime |
     """Retrain each language with enough new feedback; deploy it unless F1 fell too far.
 
     Returns the outcome per retrained language. A skipped attempt is logged too, so the same
-    reports do not trigger another try. A language that fails is logged and reported as 'failed',
+    reports do not trigger another try. A language that fails is reported as 'failed' with its error,
     and does not stop the others; without a logged attempt it stays due.
     """
     at = at or datetime.now(timezone.utc).replace(tzinfo=None)
@@ -67,9 +75,9 @@ def retrain_round(store: Store, corpora: Mapping[str, DataFrame], at: datetime |
         lang = row["lang"]
         try:
             outcome[lang] = _retrain(store, lang, corpora[lang], reports, runs, at)
-        except Exception:
+        except Exception as error:  # noqa: BLE001
             log.exception("retraining of %s failed", lang)
-            outcome[lang] = "failed"
+            outcome[lang] = f"failed: {type(error).__name__}: {error}"
     return outcome
 
 

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, CountVectorizerModel
+from pyspark.ml.feature import IDF, CountVectorizerModel, HashingTF, NGram, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailsift.functions.text import tokens
@@ -17,8 +17,22 @@ from mailsift.functions.verdict import to_binary, to_tier
 from mailsift.operators.corpus import class_weight, feedback_rows, mark_test
 from mailsift.operators.features import vocabulary
 from mailsift.operators.metrics import metrics, metrics_by_lang
-from mailsift.operators.scaling import cut_lineage, spread
-from mailsift.schema import FEEDBACK_COPIES
+from mailsift.operators.scaling import cut_lineage, hash_number, lookup_join, seeded_hash, spread
+from mailsift.schema import FEEDBACK_COPIES, SEED
+
+
+@dataclass(frozen=True)
+class Recipe:
+    """What a model sees: token counts and, with ``grams``, runs of so many tokens, hashed."""
+
+    grams: tuple[int, ...] = ()
+    reg: float = 0.01
+    buckets: int = 1 << 14
+
+
+BAG = Recipe()
+# Runs of tokens tell their order, as a reader of sequences does; one is chosen by folds.
+ORDERED = (BAG, Recipe((2,)), Recipe((2, 3)))
 
 
 @dataclass
@@ -31,9 +45,17 @@ class LanguageModel:
     def score(self, rows: DataFrame, text: str = "text") -> DataFrame:
         """Add ``spam_prob``; a narrow pass over the rows."""
         scored = self.pipeline.transform(rows.withColumn("_tokens", tokens(text, self.lang)))
-        return scored.withColumn("spam_prob", vector_to_array("_probability")[1]).drop(
-            "_tokens", "_counts", "_features", "_raw", "_probability", "_prediction"
-        )
+        kept = [c for c in rows.columns if c != "spam_prob"]
+        return scored.select(*kept, vector_to_array("_probability")[1].alias("spam_prob"))
+
+    def weights(self) -> tuple[DataFrame, float]:
+        """(token and weight, intercept) of a model of token counts: what a token adds to the score's logit."""
+        counts, *between, regression = self.pipeline.stages
+        if len(between) != 1:
+            raise ValueError("hashed runs of tokens have no tokens to name")
+        idf = between[0].idf.toArray()
+        rows = zip(counts.vocabulary, (regression.coefficients.toArray() * idf).tolist(), strict=True)
+        return SparkSession.active().createDataFrame(list(rows), "token string, weight double"), regression.intercept
 
     def save(self, path: str) -> None:
         """Write once to a new folder; the registry log points at it."""
@@ -44,22 +66,52 @@ class LanguageModel:
         return cls(lang, PipelineModel.load(path))
 
 
-def fit(train: DataFrame, lang: str, max_iter: int = 30) -> LanguageModel:
-    """Fit on rows with ord, text, y, copies: vocabulary from these rows only, spam rows weighted.
+def score_by_weights(rows: DataFrame, weights: DataFrame, intercepts: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """Add ``spam_prob`` from stored weights instead of a pipeline; ``key`` is unique in ``rows``.
 
-    The vocabulary is bounded by its size limit and is the only data that passes the driver.
+    ``weights`` has lang, token, weight, ``intercepts`` lang, intercept. Rows of all languages are scored
+    in one pass; a row whose language has no intercept gets null. Tokens are counted in their row before
+    they meet the weights, and what is summed per row lies in one task already.
     """
-    train = cut_lineage(
-        spread(train.select("ord", "text", "y", "copies"), "ord").withColumn("_tokens", tokens("text", lang))
-    )
-    vocab = vocabulary(train, lang, "ord", copies="copies")
+    lang = F.col("lang")
+    per = F.when(lang == "ko", tokens(text, "ko")).otherwise(tokens(text, "en"))
+    each = rows.select(key, "lang", F.explode(per).alias("token")).groupBy(key, "lang", "token").agg(F.count(F.lit(1)).alias("_n"))
+    met = lookup_join(each, weights, ["lang", "token"], "inner")
+    sums = met.groupBy(key).agg(F.sum(F.col("_n") * F.col("weight")).alias("_sum"))
+    logit = F.coalesce("_sum", F.lit(0.0)) + F.col("intercept")
+    joined = lookup_join(rows, intercepts, ["lang"], "left").join(sums, key, "left")
+    kept = [c for c in rows.columns if c != "spam_prob"]
+    return joined.select(*kept, (1 / (1 + F.exp(-logit))).alias("spam_prob"))
+
+
+def tokenized(train: DataFrame, lang: str) -> DataFrame:
+    """Training rows with their tokens, written: what follows reads tokens, never texts."""
+    rows = spread(train.select("ord", "text", "y", "copies"), "ord").withColumn("_tokens", tokens("text", lang))
+    return cut_lineage(rows.drop("text"))
+
+
+def fit(train: DataFrame, lang: str, max_iter: int = 30, recipe: Recipe = BAG) -> LanguageModel:
+    """Fit on rows with ord, y, copies and text, or ``_tokens`` from ``tokenized``.
+
+    The vocabulary is of these rows only, spam rows are weighted. The vocabulary is bounded by its size
+    limit; it and the coefficients are the only data that pass the driver.
+    """
+    train = train if "_tokens" in train.columns else tokenized(train, lang)
+    vocab = vocabulary(train, lang, "ord", copies="copies", words="_tokens")
     words = [r["token"] for r in vocab.orderBy("id").collect()]
     weight = class_weight(train, F.col("copies")).first()["pos_weight"]
-    counts = CountVectorizerModel.from_vocabulary(words, inputCol="_tokens", outputCol="_counts")
-    counted = counts.transform(train).withColumn(
-        "_w", F.col("copies") * F.when(F.col("y") == 1, weight).otherwise(1.0)
-    )
-    idf = IDF(inputCol="_counts", outputCol="_features").fit(counted)
+    stages = [CountVectorizerModel.from_vocabulary(words, inputCol="_tokens", outputCol="_counts")]
+    counted = "_counts"
+    if recipe.grams:
+        for n in recipe.grams:
+            stages.append(NGram(n=n, inputCol="_tokens", outputCol=f"_grams{n}"))
+            stages.append(HashingTF(numFeatures=recipe.buckets, inputCol=f"_grams{n}", outputCol=f"_hashed{n}"))
+        parts = ["_counts", *[f"_hashed{n}" for n in recipe.grams]]
+        stages.append(VectorAssembler(inputCols=parts, outputCol="_joined"))
+        counted = "_joined"
+    rows = train.withColumn("_w", F.col("copies") * F.when(F.col("y") == 1, weight).otherwise(1.0))
+    rows = PipelineModel(stages).transform(rows).select("y", "_w", counted)
+    idf = IDF(inputCol=counted, outputCol="_features").fit(rows)
     regression = LogisticRegression(
         featuresCol="_features",
         labelCol="y",
@@ -68,18 +120,43 @@ def fit(train: DataFrame, lang: str, max_iter: int = 30) -> LanguageModel:
         probabilityCol="_probability",
         predictionCol="_prediction",
         maxIter=max_iter,
-        regParam=0.01,
-    ).fit(idf.transform(counted))
-    return LanguageModel(lang, PipelineModel([counts, idf, regression]))
+        regParam=recipe.reg,
+    ).fit(idf.transform(rows))
+    return LanguageModel(lang, PipelineModel([*stages, idf, regression]))
+
+
+def tune(
+    train: DataFrame, lang: str, recipes: Sequence[Recipe] = ORDERED, folds: int = 3, max_iter: int = 30
+) -> list[float]:
+    """F1 of each recipe over all folds; every row is scored by a model that has not seen it.
+
+    Rows of equal tokens are in one fold, so that repeated feedback does not judge itself.
+    """
+    rows = train if "_tokens" in train.columns else tokenized(train, lang)
+    fold = hash_number(seeded_hash(SEED, F.lit("fold"), F.concat_ws(" ", "_tokens")), folds)
+    rows = cut_lineage(rows.withColumn("_fold", fold))
+    out = []
+    for recipe in recipes:
+        scored = None
+        for k in range(folds):
+            model = fit(rows.filter(F.col("_fold") != k), lang, max_iter, recipe)
+            held = model.pipeline.transform(rows.filter(F.col("_fold") == k))
+            held = held.select(
+                F.when(F.col("y") == 1, "spam").otherwise("ham").alias("label"), vector_to_array("_probability")[1].alias("spam_prob")
+            )
+            scored = held if scored is None else scored.unionByName(held)
+        out.append(metrics(scored).first()["f1"])
+    return out
 
 
 def train_and_evaluate(
-    corpus: DataFrame, reports: DataFrame, lang: str, max_iter: int = 30
+    corpus: DataFrame, reports: DataFrame, lang: str, max_iter: int = 30, recipes: Sequence[Recipe] = (BAG,)
 ) -> tuple[LanguageModel, DataFrame, int, int]:
     """Split, add feedback to the training side, fit, score the test side.
 
     ``corpus`` has id, label, text, lang, y. Korean is split within language and class, English
-    within class. Feedback counts FEEDBACK_COPIES times, as a weight instead of repeated rows.
+    within class. Feedback counts FEEDBACK_COPIES times, as a weight instead of repeated rows. Of
+    several ``recipes`` the one with the best F1 over folds of the training side is fitted.
     Returns (model, one-row metrics, training rows, test rows).
     """
     strata = ["lang", "label"] if lang == "ko" else ["y"]
@@ -88,8 +165,13 @@ def train_and_evaluate(
     side = marked.filter(~F.col("is_test")).select("text", "y", F.lit(1).alias("copies"))
     feedback = feedback_rows(reports, lang).select("text", "y", F.lit(FEEDBACK_COPIES).alias("copies"))
     # Corpus rows come before feedback rows; writing the table fixes the numbers.
-    train = cut_lineage(side.unionByName(feedback).withColumn("ord", F.monotonically_increasing_id()))
-    model = fit(train, lang, max_iter)
+    train = side.unionByName(feedback).withColumn("ord", F.monotonically_increasing_id())
+    train = tokenized(cut_lineage(train), lang)
+    recipe = recipes[0]
+    if len(recipes) > 1:
+        found = tune(train, lang, recipes, max_iter=max_iter)
+        recipe = recipes[max(range(len(found)), key=lambda i: (found[i], -i))]
+    model = fit(train, lang, max_iter, recipe)
     n_train = train.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
     return model, metrics(model.score(test)), n_train, test.count()
 

@@ -21,8 +21,8 @@ from mailsift.session import shared_dir
 BROADCAST_ROWS = 200_000
 # Bytes of values allowed on a broadcast side, whatever its rows.
 BROADCAST_BYTES = 64 << 20
-# Files below which a table may yield fewer splits than there are cores.
-FEW_FILES = 16
+# Bytes below which a table may yield fewer splits than there are cores.
+SPREAD_BYTES = 256 << 20
 # Keys looked at when a big join is split into its hot and its even part.
 HOT_KEYS = 1_000
 
@@ -55,12 +55,15 @@ def is_small(df: DataFrame, limit: int = BROADCAST_ROWS, max_bytes: int = BROADC
 
 
 def spread(df: DataFrame, key: str | None = None) -> DataFrame:
-    """Give heavy per-row work all cores when the rows come from only a few files.
+    """Give heavy per-row work all cores when the rows are so few bytes that they come in few splits.
 
-    Tables of FEW_FILES or more pass through unshuffled. The file list is read off the plan;
-    nothing is run to find out.
+    Inputs of SPREAD_BYTES or more, by the plan's own estimate, pass through unshuffled: their splits
+    are many. Nothing is run or listed to find out, and what is shuffled is small.
     """
-    if df.isStreaming or not 0 < len(df.inputFiles()) < FEW_FILES:
+    if df.isStreaming:
+        return df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= SPREAD_BYTES:
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores, key) if key else df.repartition(cores)
@@ -77,15 +80,15 @@ def computed(df: DataFrame, keep: Sequence[str], **columns: Column) -> DataFrame
     return df.select(*keep, made)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, by: str | None = None) -> DataFrame:
     """Write to the shared folder and read back: later jobs neither recompute nor lose it.
 
     A parquet table rather than a checkpoint of rows, so that counting passes read only the
-    columns they need.
+    columns they need; with ``by``, a column of few values, filters on it read only their folders.
     """
     path = f"{shared_dir(df.sparkSession)}/step-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
 def first_by(df: DataFrame, keys: Sequence[Column | str], order: Sequence[Column], n: int = 1) -> DataFrame:

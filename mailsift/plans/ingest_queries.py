@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from mailsift.functions.text import collapse
-from mailsift.operators import augment, mailbox
+from mailsift.operators import augment, mailbox, metrics
 from mailsift.operators.features import load_vocabulary, save_vocabulary, vocabulary
 from mailsift.operators.scaling import cut_lineage, spread
 from mailsift.plans import fixtures as fx
@@ -19,7 +19,7 @@ from mailsift.plans.registry import query
 from mailsift.session import shared_dir
 from mailsift.sources import csv_files, listings, maildrop
 from mailsift.sources.snapshots import ACTIONS, TRUST, Snapshots
-from mailsift.sources.tables import Store, save_predictions
+from mailsift.sources.tables import Store, save_predictions, save_run
 
 
 def scratch(spark: SparkSession, what: str) -> str:
@@ -345,6 +345,36 @@ def actions_snapshot(spark, sf_dir):
     return snapshots.state().withColumn("acted_at", F.date_format("acted_at", TS))
 
 
+@query(
+    "store_training_run",
+    fx.with_views(fx.LABELLED_SQL)
+    + """, c AS (SELECT count(*) FILTER (label = 'spam' AND spam_prob >= 0.5) AS tp,
+    count(*) FILTER (label <> 'spam' AND spam_prob >= 0.5) AS fp,
+    count(*) FILTER (label = 'spam' AND spam_prob < 0.5) AS fn, count(*) AS n FROM labelled)
+SELECT v.model_version, v.train_size, v.test_size, (n - fp - fn) / n AS accuracy, tp / (tp + fp) AS precision_val,
+  tp / (tp + fn) AS recall_val, 2 * tp / (2 * tp + fp + fn) AS f1_score
+FROM c, (VALUES ('v1', 80::INTEGER, 20::INTEGER), ('en-v1-skipped', 8::INTEGER, 2::INTEGER)) AS v(model_version, train_size, test_size)""",
+)
+def store_training_run(spark, sf_dir):
+    """Two training runs logged with the metrics of a scored set, and read back."""
+    store = Store(spark, scratch(spark, "store"))
+    scores = metrics.metrics(fx.labelled(spark, sf_dir))
+    save_run(store, "v1", 80, 20, scores)
+    save_run(store, "en-v1-skipped", 8, 2, scores)
+    return store.read("training_runs").drop("id", "trained_at")
+
+
+@query(
+    "demo_reader",
+    fx.with_views(fx.LABELLED_SQL) + "SELECT label, text, lang FROM labelled WHERE id % 3 = 0",
+)
+def demo_reader(spark, sf_dir):
+    """A demo set written as CSV and read back."""
+    path = scratch(spark, "demo")
+    csv_files.write_corpus(fx.labelled(spark, sf_dir).filter("id % 3 = 0").select("label", "text", "lang"), path, "csv")
+    return csv_files.read_demo(spark, path).select("label", "text", "lang")
+
+
 @query(
     "vocabulary_saved",
     f"""WITH each AS (SELECT doc_id, unnest(t) AS token, generate_subscripts(t, 1) AS pos

@@ -77,6 +77,21 @@ def promotion_gate(spark, sf_dir):
     return lifecycle.promotion_gate(candidates, fx.training_runs(spark, sf_dir))
 
 
+@query(
+    "promotion_gate_first",
+    """SELECT event_id, 'ko' AS lang, CAST(event_id % 101 AS DOUBLE) / 100 - 1.5 AS new_f1, -1.0::DOUBLE AS old_f1,
+  CASE WHEN CAST(event_id % 101 AS DOUBLE) / 100 - 1.5 >= -1.02::DOUBLE THEN 'promoted' ELSE 'skipped_regression' END AS decision,
+  CASE WHEN CAST(event_id % 101 AS DOUBLE) / 100 - 1.5 >= -1.02::DOUBLE THEN 'v1' ELSE 'v1-skipped' END AS log_version FROM events""",
+)
+def promotion_gate_first(spark, sf_dir):
+    """Candidates of a language that has no run of its own yet: the bar is -1."""
+    candidates = fx.table(spark, sf_dir, "events").select(
+        "event_id", F.lit("ko").alias("lang"), ((F.col("event_id") % 101).cast("double") / 100 - 1.5).alias("new_f1")
+    )
+    others = fx.training_runs(spark, sf_dir).filter("model_version <> 'v1'")
+    return lifecycle.promotion_gate(candidates, others)
+
+
 _BACKUPS = fx.with_views(fx.REGISTRY_SQL) + """, b AS (
   SELECT *, row_number() OVER (PARTITION BY lang ORDER BY backup_id DESC) AS rn FROM registry WHERE kind = 'backup')
 """

@@ -87,12 +87,16 @@ class Store:
         self.ready(name, rows).write.mode("append").parquet(self.path(name))
 
 
+def save_rejects(store: Store, name: str, rows: DataFrame, reason: Column) -> None:
+    """Log rows that table ``name`` does not take, whole, with the reason."""
+    row = F.to_json(F.struct(*rows.columns))
+    store.append("rejects", rows.select(F.lit(name).alias("table_name"), reason.alias("reason"), row.alias("row")))
+
+
 def _append_in_domain(store: Store, name: str, rows: DataFrame, column: str, allowed: Sequence[str]) -> None:
     good, bad = S.split_domain(rows, column, allowed)
     store.append(name, good)
-    reason = F.concat(F.lit(f"{column}: "), F.coalesce(column, F.lit("null")))
-    row = F.to_json(F.struct(*rows.columns))
-    store.append("rejects", bad.select(F.lit(name).alias("table_name"), reason.alias("reason"), row.alias("row")))
+    save_rejects(store, name, bad, F.concat(F.lit(f"{column}: "), F.coalesce(column, F.lit("null"))))
 
 
 def save_predictions(store: Store, rows: DataFrame) -> None:
