@@ -1,125 +1,177 @@
 """Repeated passages found by content-defined chunks and removed from all but one place.
 
 A gear rolling hash over the last 16 bytes decides after which words a chunk ends, so that a passage
-falls into the same chunks wherever it stands and insertions shift nothing behind them. A chunk that
-several documents hold, or one document holds twice, belongs to the smallest doc_id, there to its first
-place; everywhere else it is a duplicate. Runs of duplicate chunks with at least ``MIN_WORDS`` words are
-cut out; shorter ones, chance repeats and set phrases, stay.
-
-Chunks are compared by 64-bit digests; a run needs several in a row. Null texts stay null, empty ones
-empty. Rows that repeat an id share what is known of its chunks; the id's first place holds in each of
-them. Rows without an id own nothing: they lose what any document with an id holds as well, and keep
-the rest. An empty table gives an empty result.
+falls into the same chunks wherever it stands and insertions shift nothing behind them. In scripts
+without blanks a chunk may end after any character, and a character counts as a word. What is compared
+are stretches: from each chunk on, and up to each, as many chunks as hold ``MIN_WORDS`` words. So whatever is cut lies in
+stretches of that many words that one other document holds as a whole; chunks from here and there never
+add up to one, and shorter chance repeats and set phrases stay.
+
+A stretch that several documents hold, or one document holds twice, belongs to the document of the
+smallest id, there to its first place; everywhere else its chunks are cut out. A second place in the same
+document counts if it doesn't overlap the first.
+
+Stretches are compared by 64-bit digests. Null texts stay null, empty ones empty. Rows that repeat an id
+are one document: the id's first place holds in each of them. Rows without an id own nothing: they lose
+what any document with an id holds as well, and keep the rest. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from hashlib import blake2b
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from mailsift.llm.frames import map_rows
 
-# One word end in so many ends a chunk; a longer chunk is cut anyhow.
-WORDS_A_CHUNK = 5
+# One word end in so many ends a chunk. A longer chunk may end inside a word, or is cut anyhow.
+WORDS_A_CHUNK = 7
 MAX_BYTES = 512
 MIN_WORDS = 20
 
 BLANK = np.zeros(256, dtype=bool)
 BLANK[[9, 10, 11, 12, 13, 32]] = True
+# First bytes of three-byte characters of kana, Han and their signs, which stand without blanks.
+WIDE = np.zeros(256, dtype=bool)
+WIDE[0xE3:0xEA] = True
 GEAR = np.random.default_rng(20).integers(0, 1 << 16, 256, dtype=np.uint16)
 LIMIT = (1 << 16) // WORDS_A_CHUNK
+# The same for characters inside words that are longer than MAX_BYTES.
+INSIDE = (1 << 16) // 128
 
 
-def chunk_ends(data: np.ndarray) -> list[int]:
-    """Ends of the chunks of a text's bytes, the last its length."""
+def chunk_ends(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ends of the chunks of a text's bytes, the last its length, and the number of words up to each."""
     n = len(data)
     if n == 0:
-        return []
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     # h[i] = sum of GEAR[b[i - j]] << j over the last 16 bytes, by doubling.
     h = GEAR[data]
     for width in (1, 2, 4, 8):
         more = h.copy()
         more[width:] += h[:-width] << np.uint16(width)
         h = more
-    blank = BLANK[data]
-    cut = blank & (h < LIMIT)
-    cut[:-1] &= ~blank[1:]
-    ends = (np.flatnonzero(cut) + 1).tolist()
-    if not ends or ends[-1] != n:
-        ends.append(n)
-    if max(b - a for a, b in zip([0, *ends[:-1]], ends, strict=True)) <= MAX_BYTES:
-        return ends
+    blank, wide = BLANK[data], WIDE[data]
+    word_end = blank.copy()
+    word_end[:-1] &= ~blank[1:]
+    word_end[2:] |= wide[:-2]
+    begins = ~blank
+    begins[1:] &= blank[:-1] | wide[1:]
+    words = np.cumsum(begins)
+    ends = np.flatnonzero(word_end & (h < LIMIT)) + 1
+    if not len(ends) or ends[-1] != n:
+        ends = np.append(ends, n)
+    if np.diff(ends, prepend=0).max() > MAX_BYTES:
+        first = (data & 0xC0) != 0x80
+        inside = h < INSIDE
+        inside[:-1] &= first[1:]
+        ends = np.array(_shorter(ends.tolist(), np.flatnonzero(inside) + 1, first))
+    return ends, words[ends - 1]
+
+
+def _shorter(ends: list[int], inside: np.ndarray, first: np.ndarray) -> list[int]:
+    """Long chunks cut where the hash says so inside words, and else at a character after MAX_BYTES."""
     out, at = [], 0
     for end in ends:
-        while end - at > MAX_BYTES:
-            at += MAX_BYTES
-            while data[at] & 0xC0 == 0x80:  # not inside a character
-                at -= 1
-            out.append(at)
+        if end - at > MAX_BYTES:
+            for cut in [*inside[np.searchsorted(inside, at, "right") : np.searchsorted(inside, end)].tolist(), end]:
+                while cut - at > MAX_BYTES:
+                    at += MAX_BYTES
+                    while not first[at]:
+                        at -= 1
+                    out.append(at)
+                if cut > at and cut != end:
+                    out.append(cut)
+                    at = cut
         out.append(end)
         at = end
     return out
 
 
-def chunked(text: str) -> tuple[bytes, list[int], list[int]]:
-    """A text's bytes, its chunks' ends and their digests (0 for a chunk of blanks)."""
+def stretches(text: str, min_words: int = MIN_WORDS) -> tuple[bytes, list[int], list[tuple[int, int, int]]]:
+    """A text's bytes, its chunks' ends, and its stretches (first chunk, last chunk, digest)."""
     data = text.encode()
-    ends = chunk_ends(np.frombuffer(data, dtype=np.uint8))
-    digests, at = [], 0
-    for end in ends:
-        words = data[at:end].strip()
-        digests.append(int.from_bytes(blake2b(words, digest_size=8).digest(), "little", signed=True) if words else 0)
-        at = end
-    return data, ends, digests
-
-
-def duplicate_runs(data: bytes, ends: list[int], duplicate: list[bool], min_words: int) -> list[tuple[int, int]]:
-    """Byte spans of maximal runs of duplicate chunks with at least ``min_words`` words."""
-    spans, at, start = [], 0, None
-    for end, dup in zip([*ends, None], [*duplicate, False], strict=True):
-        if dup and start is None:
-            start = at
-        elif not dup and start is not None:
-            if len(data[start:at].split()) >= min_words:
-                spans.append((start, at))
-            start = None
+    ends, words = chunk_ends(np.frombuffer(data, dtype=np.uint8))
+    ends_ = ends.tolist()
+    before = np.concatenate([[0], words])
+    # The first chunk at which the words since the start are enough.
+    last = np.searchsorted(before, before[:-1] + min_words, "left") - 1
+    n = int((last < len(ends_)).sum())
+    if not n:
+        return data, ends_, []
+    # Chunks that no such stretch ends with get one that begins as late as it may.
+    others = np.setdiff1d(np.arange(last[0], len(ends_)), last[:n])
+    starts = np.searchsorted(before, before[others + 1] - min_words, "right") - 1
+    spans = sorted([*enumerate(last[:n].tolist()), *zip(starts.tolist(), others.tolist(), strict=True)])
+    digest, at, parts = xxhash.xxh3_64_digest, 0, []
+    for end in ends_:
+        parts.append(digest(data[at:end].strip()))
         at = end
-    return spans
+    whole, found = b"".join(parts), []
+    for i, j in spans:
+        found.append((i, j, xxhash.xxh3_64_intdigest(whole[8 * i : 8 * j + 8]) - (1 << 63)))
+    return data, ends_, found
 
 
-def shared_chunks(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and the digests of its chunks that are held elsewhere too (``foreign``) or repeated in it (``own``)."""
+def _row_key(text: str) -> Column:
+    """Tells rows of one id, or of none, apart."""
+    return F.xxhash64(F.col(text).cast("string"))
+
+
+def shared_stretches(documents: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """doc_id, row_key and the digests of stretches that are held elsewhere too (``foreign``) or repeated in it (``own``)."""
 
     def rows(slices):
         for part in slices:
             out = []
-            for doc_id, whole in zip(part["doc_id"], part["text"], strict=True):
+            for doc_id, row_key, whole in zip(part["doc_id"], part["row_key"], part["text"], strict=True):
                 if whole:
                     times: dict[int, int] = {}
-                    for digest in chunked(whole)[2]:
+                    for _, _, digest in stretches(whole, min_words)[2]:
                         times[digest] = times.get(digest, 0) + 1
-                    times.pop(0, None)
-                    out.extend((digest, doc_id, k) for digest, k in times.items())
+                    out.extend((digest, doc_id, row_key, k) for digest, k in times.items())
             yield out
 
-    texts = documents.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    chunks = map_rows(texts, rows, "digest long, doc_id long, times int")
-    held = chunks.groupBy("digest").agg(F.sum("times").alias("n"), F.min("doc_id").alias("owner"))
+    texts = documents.select(
+        F.col(key).cast("long").alias("doc_id"), _row_key(text).alias("row_key"), F.col(text).cast("string").alias("text")
+    )
+    found = map_rows(texts, rows, "digest long, doc_id long, row_key long, times int")
+    held = found.groupBy("digest").agg(F.sum("times").alias("n"), F.min("doc_id").alias("owner"))
     held = held.filter("n > 1").select(F.col("digest").alias("_d"), "owner")
-    found = chunks.select("digest", "doc_id").join(held, F.col("digest") == F.col("_d"))
+    met = found.select("digest", "doc_id", "row_key").join(held, F.col("digest") == F.col("_d"))
     own = F.col("doc_id").eqNullSafe(F.col("owner"))
     foreign = F.col("owner").isNotNull() & ~own
-    return found.groupBy("doc_id").agg(
+    # A row's own set: no more digests than its text has chunks, however often the row or its id stands.
+    return met.groupBy("doc_id", "row_key").agg(
         F.collect_set(F.when(foreign, F.col("digest"))).alias("foreign"),
         F.collect_set(F.when(own & F.col("doc_id").isNotNull(), F.col("digest"))).alias("own"),
     )
 
 
+def repeated(n_chunks: int, found: list[tuple[int, int, int]], foreign: set[int], own: set[int]) -> np.ndarray:
+    """Which chunks lie in a stretch that belongs to another document or to an earlier place of this one."""
+    steps = np.zeros(n_chunks + 1, dtype=np.int64)
+    ended: dict[int, int] = {}
+    for i, j, digest in found:
+        again = False
+        if digest in own:
+            again = ended.setdefault(digest, j) < i
+        if again or digest in foreign:
+            steps[i] += 1
+            steps[j + 1] -= 1
+    return np.cumsum(steps[:-1]) > 0
+
+
+def duplicate_runs(ends: list[int], duplicate: np.ndarray) -> list[tuple[int, int]]:
+    """Byte spans of maximal runs of duplicate chunks."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], duplicate.astype(np.int8), [0]])))
+    starts = [0, *ends]
+    return [(starts[a], starts[b]) for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True)]
+
+
 SPANS = ArrayType(StructType([StructField("start", LongType()), StructField("length", LongType())]))
 
 
@@ -128,9 +180,14 @@ def deduplicated(documents: DataFrame, key: str = "doc_id", text: str = "text",
 
     Spans are in characters of the old text.
     """
-    shared = shared_chunks(documents, key, text)
-    kept = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), F.col(key).alias("_id"))
-    joined = kept.join(shared, F.col("_id").eqNullSafe(F.col("doc_id")), "left").select("row", "foreign", "own")
+    shared = shared_stretches(documents, key, text, min_words)
+    kept = documents.select(
+        F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"),
+        F.col(key).cast("long").alias("_id"),
+        _row_key(text).alias("_key"),
+    )
+    same = F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_key") == F.col("row_key"))
+    joined = kept.join(shared, same, "left").select("row", "foreign", "own")
     schema = StructType(
         [
             joined.schema["row"],
@@ -141,19 +198,15 @@ def deduplicated(documents: DataFrame, key: str = "doc_id", text: str = "text",
     )
 
     def clean(whole: str, foreign: set, own: set) -> tuple[str, int, int, list[dict]]:
-        data, ends, digests = chunked(whole)
-        seen: set[int] = set()
-        duplicate = []
-        for digest in digests:
-            duplicate.append(digest in foreign or (digest in own and digest in seen) or (digest == 0 and bool(duplicate) and duplicate[-1]))
-            seen.add(digest)
-        spans = duplicate_runs(data, ends, duplicate, min_words)
+        data, ends, found = stretches(whole, min_words)
+        duplicate = repeated(len(ends), found, foreign, own)
+        spans = duplicate_runs(ends, duplicate)
         parts, at, places = [], 0, []
         for a, b in spans:
             parts.append(data[at:a])
             places.append({"start": len(data[:a].decode()), "length": len(data[a:b].decode())})
             at = b
-        return b"".join([*parts, data[at:]]).decode(), len(ends), sum(duplicate), places
+        return b"".join([*parts, data[at:]]).decode(), len(ends), int(duplicate.sum()), places
 
     def run(batches):
         for whole_batch in batches:
