@@ -33,7 +33,7 @@ FAN_IN = 16
 KEPT = 60_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-MEMBER = "struct<doc_id:bigint,piece:int,start:bigint,length:bigint,ids_crc32:bigint>"
+MEMBER = "struct<doc_id:bigint,piece:int,start:bigint,length:bigint,ids_crc32:bigint,salt:bigint>"
 BINS = f"task long, bin long, closed boolean, fill long, members array<{MEMBER}>"
 
 
@@ -104,14 +104,14 @@ def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
 
 
 def _round(items: DataFrame, capacity: int, tasks: int) -> DataFrame:
-    """One best-fit round: items (fill, members) dealt to ``tasks`` groups by their first member."""
+    """One best-fit round: items (fill, members) dealt to ``tasks`` groups by the number of their first member."""
     schema = struct_of(BINS)
     arrow = to_arrow_schema(schema)
 
     def pack(group: pa.Table) -> pa.Table:
         fills = group.column("fill").to_numpy()
         members = group.column("members").to_pylist()
-        first = [(m[0]["doc_id"], m[0]["piece"], m[0]["ids_crc32"]) for m in members]
+        first = [(m[0]["doc_id"] is None, m[0]["doc_id"] or 0, m[0]["piece"], m[0]["ids_crc32"], m[0]["salt"]) for m in members]
         order = sorted(range(len(fills)), key=lambda i: (-fills[i], first[i]))
         task = group.column("task")[0].as_py()
         out = []
@@ -122,13 +122,14 @@ def _round(items: DataFrame, capacity: int, tasks: int) -> DataFrame:
         return pa.Table.from_pylist(out, schema=arrow)
 
     head = F.element_at("members", 1)
-    task = F.pmod(F.xxhash64(F.lit(tasks), head["doc_id"], head["piece"]), F.lit(tasks)).alias("task")
+    task = F.pmod(F.xxhash64(F.lit(tasks), head["doc_id"], head["piece"], head["salt"]), F.lit(tasks)).alias("task")
     return items.select(task, "fill", "members").groupBy("task").applyInArrow(pack, schema)
 
 
 def pack_pieces(pieces: DataFrame, capacity: int) -> DataFrame:
-    """Place pieces (PIECES columns, written once before) into sequences; adds sequence_id and offset."""
-    member = F.struct("doc_id", "piece", "start", "length", "ids_crc32")
+    """Place pieces (PIECES columns) into sequences; adds sequence_id and offset."""
+    pieces = cut_lineage(pieces.withColumn("salt", F.monotonically_increasing_id()))
+    member = F.struct("doc_id", "piece", "start", "length", "ids_crc32", "salt")
     whole = pieces.filter(F.col("length") == capacity)
     items = pieces.filter(F.col("length") < capacity).select(F.col("length").alias("fill"), F.array(member).alias("members"))
     done = [
@@ -160,12 +161,11 @@ def pack_pieces(pieces: DataFrame, capacity: int) -> DataFrame:
     lengths = F.transform("members", lambda m: m["length"])
     placed = placed.select(sequence.alias("sequence_id"), F.posexplode("members").alias("at", "m"), lengths.alias("l"))
     offset = F.aggregate(F.slice("l", 1, F.col("at")), F.lit(0).cast("long"), lambda a, x: a + x)
-    return placed.select("m.*", "sequence_id", offset.alias("offset"))
+    return placed.select("m.*", "sequence_id", offset.alias("offset")).drop("salt")
 
 
 def pack_documents(
     documents: DataFrame, path: str, length: int = 2048, end_id: int = 0, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """Encode, cut and pack whole documents; one row per piece."""
-    pieces = cut_lineage(token_pieces(keyed_texts(documents, key, text), path, length, end_id))
-    return pack_pieces(pieces, length)
+    return pack_pieces(token_pieces(keyed_texts(documents, key, text), path, length, end_id), length)

@@ -166,3 +166,31 @@ def test_count_with_edits(spark):
         assert got[i].n_tokens == len(ids(text))
         assert got[i].edited_tokens == len(ids(edited(text or "", own)))
         assert got[i].n_edits == len(own)
+
+
+def test_packing_of_one_id_and_of_none(spark, monkeypatch):
+    """One id, or none, in most rows: no task gets more than its share, and every row is packed."""
+    monkeypatch.setattr(packing, "ITEMS", 100)
+    rows = [(None if i % 3 == 0 else 7, f"text {i % 5}") for i in range(900)] + [(1000 + i, f"row {i}") for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    dealt = []
+    real = packing._round
+
+    def watched(items, capacity, tasks):
+        out = real(items, capacity, tasks).cache()
+        dealt.append((tasks, max(r["n"] for r in out.selectExpr("task", "size(members) n").groupBy("task").sum("n").toDF("task", "n").collect())))
+        return out
+
+    monkeypatch.setattr(packing, "_round", watched)
+    got = packing.pack_documents(df, PATH, length=64).collect()
+    assert sum(r.doc_id is None for r in got) == 300 and sum(r.doc_id == 7 for r in got) == 600 and len(got) == 1000
+    assert dealt[0][0] == 10 and dealt[0][1] < 200
+    by = defaultdict(list)
+    for r in got:
+        by[r.sequence_id].append((r.offset, r.length))
+    for places in by.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= 64
