@@ -281,6 +281,29 @@ def store_append(spark, sf_dir):
     return store.read("messages").withColumn("created_at", F.date_format("created_at", TS))
 
 
+@query(
+    "store_cast_rejects",
+    """SELECT 'user_reports' AS table_name, 'does not cast: created_at' AS reason, doc_id AS id FROM documents WHERE doc_id % 7 = 3
+UNION ALL SELECT 'user_reports', 'does not cast: id, created_at', -1 FROM documents WHERE doc_id % 7 = 5
+UNION ALL SELECT 'stored', '', doc_id FROM documents WHERE doc_id % 7 NOT IN (3, 5)""",
+)
+def store_cast_rejects(spark, sf_dir):
+    """Reports as texts: what does not cast is kept as rejects, the rest is stored."""
+    d = F.col("doc_id")
+    rows = fx.table(spark, sf_dir, "documents").select(
+        F.when(d % 7 == 5, F.concat(F.lit("no "), d.cast("string"))).otherwise(d.cast("string")).alias("id"),
+        F.substring("text", 1, 40).alias("content"),
+        F.lit("ham").alias("user_label"),
+        F.when(d % 7 == 3, "yesterday").when(d % 7 == 5, "?").when(d % 7 == 4, None).otherwise("2024-02-03 04:05:06").alias("created_at"),
+    )
+    store = Store(spark, scratch(spark, "store"))
+    store.append("user_reports", rows)
+    rejects = store.read("rejects").select(
+        "table_name", "reason", F.coalesce(F.get_json_object("row", "$.id").try_cast("bigint"), F.lit(-1).cast("bigint")).alias("id")
+    )
+    return rejects.unionByName(store.read("user_reports").select(F.lit("stored").alias("table_name"), F.lit("").alias("reason"), "id"))
+
+
 @query(
     "store_reports",
     fx.with_views(fx.MAIL_SQL, MESSAGES_SQL, fx.PICKED_SQL)

@@ -116,7 +116,7 @@ def conform(
 ) -> DataFrame:
     """Bring ``df`` to ``schema``: add absent columns, fill defaults, cast and reorder.
 
-    Applying it twice changes nothing. A value that does not cast becomes null.
+    Applying it twice changes nothing. A value that does not cast becomes null; ``failed_casts`` finds such rows.
     """
     defaults = defaults or {}
     out = []
@@ -128,6 +128,36 @@ def conform(
     return df.select(*out)
 
 
+_WIDER = {
+    T.ByteType: (T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType),
+    T.ShortType: (T.IntegerType, T.LongType, T.FloatType, T.DoubleType),
+    T.IntegerType: (T.LongType, T.DoubleType),
+    T.LongType: (T.DoubleType,),
+    T.FloatType: (T.DoubleType,),
+    T.TimestampType: (T.TimestampNTZType,),
+    T.TimestampNTZType: (T.TimestampType,),
+    T.DateType: (T.TimestampType, T.TimestampNTZType),
+}
+
+
+def _may_fail(have: T.DataType, want: T.DataType) -> bool:
+    safe = have == want or isinstance(want, T.StringType) or isinstance(have, T.NullType)
+    return not safe and not isinstance(want, _WIDER.get(type(have), ()))
+
+
+def failed_casts(df: DataFrame, schema: T.StructType) -> Column | None:
+    """Names of the columns whose value is there but does not cast, joined by commas; '' when all do.
+
+    None when no column's type can fail, so that nothing need be looked at.
+    """
+    have = {f.name: f.dataType for f in df.schema.fields}
+    risky = [f for f in schema.fields if f.name in have and _may_fail(have[f.name], f.dataType)]
+    if not risky:
+        return None
+    lost = [F.col(f.name).isNotNull() & F.col(f.name).try_cast(f.dataType).isNull() for f in risky]
+    return F.concat_ws(", ", *[F.when(bad, f.name) for bad, f in zip(lost, risky, strict=True)])
+
+
 def in_domain(column: str, allowed: Sequence[str]) -> Column:
     """True where a label is one of the allowed values; null labels are not."""
     return F.coalesce(F.col(column).isin(*allowed), F.lit(False))

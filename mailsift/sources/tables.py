@@ -84,6 +84,19 @@ class Store:
         return S.conform(rows, target, self.DEFAULTS.get(name))
 
     def append(self, name: str, rows: DataFrame) -> None:
+        """Append rows in the table's shape; those with a value that does not cast go to the rejects, whole.
+
+        Where types can fail to cast, ``rows`` is read twice.
+        """
+        failed = S.failed_casts(rows, self.TABLES[name])
+        if failed is not None:
+            marked = rows.withColumn("_failed", failed)
+            bad = marked.filter("_failed <> ''")
+            if bad.limit(1).count():
+                row = F.to_json(F.struct(*rows.columns)).alias("row")
+                reason = F.concat(F.lit("does not cast: "), "_failed").alias("reason")
+                self.append("rejects", bad.select(F.lit(name).alias("table_name"), reason, row))
+                rows = marked.filter("_failed = ''").drop("_failed")
         self.ready(name, rows).write.mode("append").parquet(self.path(name))
 
 

@@ -77,6 +77,16 @@ def test_conform_twice_changes_nothing(spark):
     assert once.first()["spam_prob"] is None
 
 
+def test_values_that_do_not_cast_are_rejected(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    rows = spark.createDataFrame([("7", "a", "0.5"), ("x", "b", "0.1"), (None, "c", "much")], "id string, content string, spam_prob string")
+    store.append("messages", rows)
+    assert [(r["id"], r["spam_prob"]) for r in store.read("messages").collect()] == [(7, 0.5)]
+    rejects = {r["reason"]: r["row"] for r in store.read("rejects").collect()}
+    assert set(rejects) == {"does not cast: id", "does not cast: spam_prob"} and '"content":"c"' in rejects["does not cast: spam_prob"]
+    assert S.failed_casts(spark.createDataFrame([(1, "a", 2.0)], "id int, content string, spam_prob float"), S.MESSAGES) is None
+
+
 def test_allowlist_insert_then_update(spark, tmp_path):
     store = Store(spark, str(tmp_path))
     schema = "id long, pattern string, note string"
