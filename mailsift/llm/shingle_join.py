@@ -31,12 +31,12 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from mailsift.llm.frames import keyed_texts, map_rows, struct_of
-from mailsift.operators.scaling import BROADCAST_ROWS, cut_lineage
+from mailsift.operators.scaling import BROADCAST_ROWS, cut_lineage, first_by, lookup_join
 
 WIDTH, PERCENT = 4, 85
 # Segments with this many shingles or fewer are only used with their neighbour's deletions.
@@ -412,8 +412,34 @@ def linked_components(documents: DataFrame, key: str = "doc_id", text: str = "te
     return out.select("doc_id", "n_shingles", "component_id")
 
 
+def _sequence(text: str) -> Column:
+    """Digest of a text's words in order; null without a word."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    words = F.regexp_extract_all(F.translate(F.col(text).cast("string"), upper, lower), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    return F.when(F.size(words) > 0, F.md5(F.array_join(words, " ")))
+
+
 def one_of_each(documents: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """The rows of the smallest id of each component, with all their columns, and rows without an id."""
+    """One row of each group, with all its columns: of the smallest id of each component one row.
+
+    Rows that repeat an id stay once for each different sequence of words. Rows without an id are not
+    compared shingle by shingle: of those with the same words one stays, and none if a row with an id
+    has these words. Rows without a word all stay.
+    """
     found = linked_components(documents, key, text, width, percent)
     gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return documents.join(gone, documents[key] == gone["_gone"], "left_anti")
+    kept = documents.join(gone, documents[key] == gone["_gone"], "left_anti")
+    odd = documents.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter((F.col("_n") > 1) | F.col(key).isNull())
+    odd = cut_lineage(odd.select(key))
+    if not odd.limit(1).count():
+        return kept
+    repeated = odd.filter(F.col(key).isNotNull())
+    single = lookup_join(kept.filter(F.col(key).isNotNull()), repeated, [key], "left_anti")
+    many = lookup_join(kept.filter(F.col(key).isNotNull()), repeated, [key], "left_semi")
+    many = many.unionByName(kept.filter(F.col(key).isNull())).withColumn("_words", _sequence(text))
+    # A group is cut to one row in each task before it is shuffled.
+    firsts = first_by(many.filter("_words IS NOT NULL"), [key, "_words"], [F.lit(1)])
+    of_others = documents.filter(F.col(key).isNotNull()).select(_sequence(text).alias("_words")).dropna().distinct()
+    nameless = firsts.filter(F.col(key).isNull()).join(of_others, "_words", "left_anti")
+    rest = many.filter("_words IS NULL").unionByName(firsts.filter(F.col(key).isNotNull())).unionByName(nameless)
+    return single.select(*documents.columns).unionByName(rest.select(*documents.columns))

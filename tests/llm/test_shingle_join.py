@@ -111,6 +111,21 @@ def test_one_of_each(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, _, c in plain_components(texts)})
 
 
+def test_one_row_of_repeated_and_missing_ids(spark):
+    same, other = "one two three four five six", "seven eight nine ten eleven"
+    rows = [(1, same), (1, same), (1, "One  two three four five six"), (None, same), (None, same), (2, same), (3, other)]
+    rows += [(3, "quite another text of some words"), (None, "only nameless rows have this"), (None, "only  nameless rows have this")]
+    rows += [(4, ""), (4, None), (None, " "), (None, " ")]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, comp string").repartition(3)
+    kept = shingle_join.one_of_each(docs)
+    assert kept.columns == docs.columns
+    got = sorted(((r.doc_id or 0), " ".join((r.text or "").lower().split())) for r in kept.collect())
+    assert got == sorted(
+        [(1, same), (3, other), (3, "quite another text of some words"), (0, "only nameless rows have this")]
+        + [(4, ""), (4, ""), (0, ""), (0, "")]
+    )
+
+
 def test_ids_that_repeat_or_lack(spark):
     rows = [(1, "a b c d e"), (1, "q r s t u"), (5, "q r s t u"), (9, "a b c d e"), (None, "a b c d e"), (7, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
