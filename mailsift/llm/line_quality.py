@@ -9,7 +9,9 @@ logistic fit turns into a score.
 
 Whole texts are scored. Texts without a word (null ones among them) have no lines and get the share of
 good rows among such rows of the sample, or 0. If the sample has only one class or no row, every score
-is its share of good rows. Repeated rows are scored each. An empty table gives an empty result.
+is its share of good rows. Rows without an id and repeated rows are scored each; labels without an id are
+left out, of a repeated label the larger counts. Of lines that look equally bad the first is the worst. An
+empty table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -20,13 +22,16 @@ from operator import eq
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from mailsift.llm.frames import keyed_texts, map_rows
 from mailsift.llm.labelled import logistic, probability, sample
 
-# Labelled documents per class the field is fitted on; of these, ones with more lines are left out of the fit.
+# Labelled documents per class the field is fitted on; of these, ones with more lines are left out of the fit,
+# and so are those behind the first that hold so many lines of their class: 37 numbers a line go to the driver.
 SAMPLE = 2000
 FIT_LINES = 1000
+CLASS_LINES = 200_000
 ROUNDS, STEPS, RATE = 2, 120, 0.1
 RIDGE = 1e-3
 
@@ -187,6 +192,10 @@ def fit(documents: DataFrame, labels: DataFrame, learn: Column | None = None, pe
     """A field from ``labels`` (doc_id, quality) of the rows where ``learn`` holds."""
     learn = F.lit(True) if learn is None else learn
     taken, weight = sample(documents, labels, "quality", learn, per_class)
+    # Of at most ``per_class`` rows each; in the sample's own order.
+    order = Window.partitionBy("y").orderBy(F.xxhash64(F.lit(17), "doc_id"), "doc_id")
+    lines_before = F.sum(F.least(F.size(F.split("text", "\n")), F.lit(FIT_LINES))).over(order)
+    taken = taken.withColumn("_lines", lines_before).filter(F.col("_lines") <= CLASS_LINES)
 
     def rows(slices):
         for part in slices:
@@ -195,10 +204,10 @@ def fit(documents: DataFrame, labels: DataFrame, learn: Column | None = None, pe
                 lines = text_lines(text)
                 if len(lines) <= FIT_LINES:
                     x = line_features(lines) if lines else np.zeros((0, 3 * OWN + 1))
-                    out.append((y, x.ravel().tolist(), [float(len(line)) for line in lines]))
+                    out.append((y, x.tobytes(), [float(len(line)) for line in lines]))
             yield out
 
-    found = map_rows(taken.select("text", "y"), rows, "y int, x array<double>, lengths array<double>").collect()
+    found = map_rows(taken.select("text", "y"), rows, "y int, x binary, lengths array<double>").collect()
     model = LineField()
     model.base = float(sum(r["y"] for r in found)) / max(len(found), 1)
     blank = [r["y"] for r in found if not r["lengths"]]
@@ -206,7 +215,7 @@ def fit(documents: DataFrame, labels: DataFrame, learn: Column | None = None, pe
     found = sorted((r for r in found if r["lengths"]), key=lambda r: (r["y"], r["lengths"], r["x"]))
     if len({r["y"] for r in found}) < 2:
         return model
-    docs = [np.array(r["x"]).reshape(len(r["lengths"]), -1) for r in found]
+    docs = [np.frombuffer(r["x"]).reshape(len(r["lengths"]), -1) for r in found]
     y = np.array([r["y"] for r in found])
     # The field learns from both classes alike, the score from their true shares.
     model.fit(docs, y, np.ones(len(y)))
