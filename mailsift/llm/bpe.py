@@ -3,7 +3,9 @@
 ``encode`` gives the ids the tokenizers library gives, ``decode`` concatenates vocabulary strings.
 Pieces repeat, so each worker keeps the ids of pieces it has met, up to a number of them.
 
-Empty and null texts have no ids and decode to an empty text. Repeated rows are encoded one by one.
+Empty and null texts have no ids and decode to an empty text. Rows without an id and repeated rows are
+encoded one by one; of two merges of equal rank the one further left goes first. An empty table gives an
+empty result; other columns are not looked at.
 """
 
 from __future__ import annotations

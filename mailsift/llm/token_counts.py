@@ -8,7 +8,9 @@ paths to them change.
 A null text is an empty one (count 0). The edits of a document are applied from the last position to
 the first, so that positions refer to the text before. A null or negative position or length counts
 as 0, a position past the end as the end, a null insertion as none. A document without edits keeps its
-count. Repeated edits are applied each; edits of documents that are not there have no effect.
+count. Repeated edits are applied each; edits of documents that are not there have no effect. Rows
+without an id and repeated rows are counted each; edits of one position go by the characters they delete,
+then by what they put in. An empty table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -191,7 +193,7 @@ def counted(texts: DataFrame, path: str) -> DataFrame:
         for part in slices:
             out = []
             for doc_id, text, edits in zip(part["doc_id"], part["text"], part["edits"], strict=True):
-                doc = CountedText(text, path)
+                doc = CountedText(text or "", path)
                 before, pieces = doc.total, doc.n_pieces
                 todo = sorted(map(order, edits or []), reverse=True)
                 for position, delete, insert in todo:

@@ -11,7 +11,9 @@ calibrated thresholds make a document's features, a logistic fit on the sample m
 
 All words of all texts are scored. Empty and null texts have no windows and get the score of a text
 without any margin. If the sample has only one class or no row, every score is its share of toxic rows
-(0 without rows). Repeated rows are scored each. An empty table gives an empty result.
+(0 without rows). Rows without an id and repeated rows are scored each; labels without an id are left out, of
+a repeated label the larger counts. Marks of equal evidence go by length, then by themselves. An empty
+table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
