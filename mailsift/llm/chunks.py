@@ -28,7 +28,7 @@ from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 from mailsift.llm.frames import map_rows
 
 # One word end in so many ends a chunk. A longer chunk may end inside a word, or is cut anyhow.
-WORDS_A_CHUNK = 7
+WORDS_A_CHUNK = 6
 MAX_BYTES = 512
 MIN_WORDS = 20
 
