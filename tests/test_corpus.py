@@ -200,3 +200,15 @@ def test_templates(spark):
     assert pool.count() <= 20 and pool.select("text").distinct().count() == pool.count()
     demo = augment.mark_demo(pool, "id", 2)
     assert demo.filter("is_demo").count() == 4
+
+
+def test_characters_are_counted_without_rows_of_their_own(spark):
+    texts = [(3, 5, "ab a <url>"), (1, 1, "b http://x.y 7"), (2, 2, None), (None, 1, "c <url>d"), (4, None, "e")]
+    rows = spark.createDataFrame(texts, "ord long, copies int, text string")
+    found = features.token_counts(rows, "ko", "ord", "copies")
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["token"]: (r["n"], r["first_row"]) for r in found.collect()}
+    assert got == {
+        "a": (10, 3), "b": (6, 1), "<url>": (6, 1), "<num>": (1, 1), "c": (1, None), "d": (1, None),
+        "e": (None, 4), **{c: (1, None) for c in "<url>"},
+    }

@@ -120,3 +120,15 @@ def test_language(spark):
 def test_routing_ignores_attachment(spark):
     row = spark.createDataFrame([("hi", None)], "s string, b string")
     assert row.select(tx.route_lang(F.col("s"), F.col("b"))).first()[0] == "en"
+
+
+def test_first_character_tokens_are_those_of_the_whole_text(spark):
+    """Cut before the text is taken apart: at markers, at chunks that begin like one, at blanks in front."""
+    texts = [
+        "확인 http://bit.ly/abc 클릭 01012345678", "  　<url>abc <num> d", "ab <url>c", "x" * 600 + " y.com z", "a\x1cb\x85c",
+        "1 " * 400, "", " ", None, "ΑΣ α <url>", "😀a😀 me2.do/kk1 ab", "<url", "a.com,b 7<num>",
+    ]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    for n in (1, 2, 3, 4, 5, 6, 7, 8, 250):
+        whole = F.slice(tx.char_tokens("text"), 1, n)
+        assert rows.filter(~whole.eqNullSafe(tx.char_tokens("text", n))).count() == 0, n
