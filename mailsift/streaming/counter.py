@@ -5,16 +5,18 @@ how many reports came for every later second or microsecond. A report or an atte
 out of order counts as it would have in time, so the state always equals the count over the whole tables.
 
 All reports of a language meet in its one state. They get there summed up: every task sends one number
-for each time it has seen.
+for each time it has seen. The state holds the times as lists of two long arrays, added to by every batch and
+merged when an attempt ends some or when what was added outgrows what was merged; no time is looked up singly.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,6 +43,10 @@ OUT = T.StructType(
 # Stands for the time of a report without one: counted until there is an attempt.
 NO_TIME = -(1 << 62)
 ATTEMPT = 0
+# Times in one list of the state.
+CHUNK = 10_000
+# Times that may be added before a merge, however few there were.
+UNMERGED = 10 * CHUNK
 
 
 def events(reports: DataFrame, runs: DataFrame) -> DataFrame:
@@ -55,28 +61,40 @@ def events(reports: DataFrame, runs: DataFrame) -> DataFrame:
     return counted.unionByName(tried.filter(F.col("at").isNotNull())).mapInArrow(_summed, EVENT)
 
 
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _grouped(rows: pa.Table) -> pa.Table:
     """Reports of one language and time as one row; of a language's attempts the last."""
     schema = to_arrow_schema(EVENT)
+    tries = pc.equal(rows["n"], ATTEMPT)
+    sums = rows.filter(pc.invert(tries)).group_by(["lang", "at"]).aggregate([("n", "sum")])
+    last = rows.filter(tries).group_by(["lang"]).aggregate([("at", "max")])
+    tried = [last["lang"], last["at_max"], pa.array([ATTEMPT] * len(last), pa.int64())]
+    return pa.concat_tables(
+        pa.Table.from_arrays(columns, names=schema.names).cast(schema) for columns in ([sums["lang"], sums["at"], sums["n_sum"]], tried)
+    )
 
-    def rows(sums, tried):
-        keys = [(lang, at, n) for (lang, at), n in sums.items()] + [(lang, at, ATTEMPT) for lang, at in tried.items()]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(c, type=f.type) for c, f in zip(zip(*keys, strict=True), schema, strict=True)], schema=schema
-        )
 
-    sums, tried = Counter(), {}
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's events summed up, whole batches at a time."""
+    held, size = [], 0
     for batch in batches:
-        for lang, at, n in zip(*(batch.column(c).to_pylist() for c in EVENT.names), strict=True):
-            if n == ATTEMPT:
-                tried[lang] = max(at, tried.get(lang, at))
-            else:
-                sums[lang, at] += n
-        if len(sums) >= 100_000:  # bounded, whatever the times
-            yield rows(sums, tried)
-            sums, tried = Counter(), {}
-    if sums or tried:
-        yield rows(sums, tried)
+        held.append(_grouped(pa.Table.from_batches([batch])))
+        size += len(held[-1])
+        if size >= 100_000:  # bounded, whatever the times
+            merged = _grouped(pa.concat_tables(held))
+            held, size = [merged], len(merged)
+            if size >= 50_000:
+                yield from merged.to_batches()
+                held, size = [], 0
+    if held:
+        yield from _grouped(pa.concat_tables(held)).to_batches()
+
+
+def _by_time(at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each time once, with all its reports."""
+    times, place = np.unique(at, return_inverse=True)
+    sums = np.zeros(len(times), np.int64)
+    np.add.at(sums, place, n)
+    return times, sums
 
 
 class FeedbackCounter(StatefulProcessor):
@@ -87,8 +105,9 @@ class FeedbackCounter(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.sums = handle.getValueState("sums", "since long, total long")
-        self.by_time = handle.getMapState("by_time", "at long", "n long")
+        # ``merged`` and ``added`` are how many times the lists held after the last merge and got since.
+        self.sums = handle.getValueState("sums", "since long, total long, merged long, added long")
+        self.times = handle.getListState("times", "at array<long>, n array<long>")
 
     def _row(self, lang, since, total, reminder):
         row = {"lang": [lang], "since": [since], "new_reports": [total], "due": [total >= self.threshold], "reminder": [reminder]}
@@ -96,36 +115,47 @@ class FeedbackCounter(StatefulProcessor):
         frame["since"] = frame["since"].astype("Int64")
         return frame
 
+    @staticmethod
+    def _chunks(at: np.ndarray, n: np.ndarray) -> list[tuple]:
+        return [(at[i : i + CHUNK].tolist(), n[i : i + CHUNK].tolist()) for i in range(0, len(at), CHUNK)]
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        since, total = self.sums.get() if self.sums.exists() else (None, 0)
+        since, total, merged, added = self.sums.get() if self.sums.exists() else (None, 0, 0, 0)
         was_due = total >= self.threshold
-        new, tried = Counter(), since
+        tried, ats, ns = since, [], []
         for frame in rows:
-            for at, n in zip(frame["at"].tolist(), frame["n"].tolist(), strict=True):
-                if n != ATTEMPT:
-                    new[at] += n
-                elif tried is None or at > tried:
-                    tried = at
-        if tried != since:
+            at, n = frame["at"].to_numpy(np.int64), frame["n"].to_numpy(np.int64)
+            attempts = at[n == ATTEMPT]
+            if len(attempts) and (tried is None or attempts.max() > tried):
+                tried = int(attempts.max())
+            ats.append(at[n != ATTEMPT])
+            ns.append(n[n != ATTEMPT])
+        at, n = _by_time(np.concatenate(ats), np.concatenate(ns))
+        if tried != since or added + len(at) > max(merged, UNMERGED):
             # Reports up to the new attempt are done with.
             since = tried
-            for (at,), (n,) in list(self.by_time.iterator()):
-                if at <= since:
-                    self.by_time.removeKey((at,))
-                    total -= n
-        for at, n in new.items():
-            if since is None or at > since:
-                known = self.by_time.getValue((at,))[0] if self.by_time.containsKey((at,)) else 0
-                self.by_time.updateValue((at,), (known + n,))
-                total += n
-        self.sums.update((since, total))
+            held = list(self.times.get()) if merged + added else []
+            at = np.concatenate([at, *[np.array(c[0], np.int64) for c in held]])
+            n = np.concatenate([n, *[np.array(c[1], np.int64) for c in held]])
+            after = at > since if since is not None else np.ones(len(at), bool)
+            at, n = _by_time(at[after], n[after])
+            if held:
+                self.times.clear()
+            total, merged, added = int(n.sum()), len(at), 0
+        else:
+            after = at > since if since is not None else np.ones(len(at), bool)
+            at, n = at[after], n[after]
+            total, added = total + int(n.sum()), added + len(at)
+        if len(at):
+            self.times.appendList(self._chunks(at, n))
+        self.sums.update((since, total, merged, added))
         if self.remind_ms is not None and total >= self.threshold and not was_due:
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.remind_ms)
         yield self._row(key[0], since, total, False)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         """Say again that a language is due when no attempt has followed."""
-        since, total = self.sums.get()
+        since, total, *_ = self.sums.get()
         if total >= self.threshold:
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.remind_ms)
             yield self._row(key[0], since, total, True)

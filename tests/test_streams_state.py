@@ -6,6 +6,7 @@ import random
 import time
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -227,6 +228,54 @@ def test_any_order_of_arrival(spark, tmp_path, seed):
             a.agrees()
 
 
+class State:
+    """A value, list or map state that counts the calls it gets."""
+
+    def __init__(self, calls):
+        self.value, self.rows, self.calls = None, [], calls
+
+    def __getattr__(self, name):
+        raise AssertionError(f"{name}: times are not looked up singly")
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        self.calls.append("get")
+        return iter(list(self.rows)) if self.value is None else self.value
+
+    def update(self, value):
+        self.value = value
+
+    def clear(self):
+        self.calls.append("clear")
+        self.rows = []
+
+    def appendList(self, rows):
+        self.calls.append("append")
+        self.rows += rows
+
+
+def test_calls_to_the_state_do_not_grow_with_the_times(monkeypatch):
+    """Some calls a batch, for thousands of times as for few; merged lists hold each time once."""
+    monkeypatch.setattr(counter, "UNMERGED", 3000)
+    calls, told = [], []
+    made = counter.FeedbackCounter(threshold=5)
+    made.sums, made.times = State([]), State(calls)
+    rng, kept, since = random.Random(4), [], None
+    for batch in range(12):
+        at = [rng.randrange(4000) for _ in range(2000)] + [counter.NO_TIME]
+        kept += at
+        attempts = [rng.randrange(2000)] if batch in (3, 4, 8) else []
+        since = max([x for x in (since, *attempts) if x is not None], default=None)
+        frames = [pd.DataFrame({"at": at + attempts, "n": [1] * len(at) + [0] * len(attempts)})]
+        (row,) = made.handleInputRows(("en",), frames, None)
+        told.append(row["new_reports"][0])
+        assert told[-1] == sum(since is None or x > since for x in kept)
+    assert len(calls) <= 12 * 3 and max(len(r[0]) for r in made.times.rows) <= counter.CHUNK
+    assert sum(len(r[0]) for r in made.times.rows) <= 2 * 4001 + 3000
+
+
 def test_reminders_while_no_attempt_follows(spark, tmp_path):
     a = Arrivals(spark, tmp_path)
     a.land([report(i, i) for i in range(6)], [run(1, -10)])
