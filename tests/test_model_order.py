@@ -82,3 +82,19 @@ def test_a_model_with_order_is_saved_and_loaded(spark, tmp_path):
     again = model.LanguageModel.load("en", str(tmp_path / "m"))
     asked = rows(spark, 5, 3).select("text")
     assert made.score(asked).collect() == again.score(asked).collect()
+
+
+def test_folds_and_recipes_share_their_counts(spark, monkeypatch):
+    """Tokens are counted by fold once; each fit is the one that its rows alone would give."""
+    train = model.tokenized(rows(spark, 90), "en")
+    recipes = (model.BAG, model.Recipe((2,), buckets=64), model.Recipe((2, 3), buckets=64))
+    calls, plain = [], model.token_counts
+    monkeypatch.setattr(model, "token_counts", lambda *a, **k: calls.append(a) or plain(*a, **k))
+    fits, fit = [], model.fit
+    monkeypatch.setattr(model, "fit", lambda *a: fits.append((a, fit(*a))) or fits[-1][1])
+    found = model.tune(train, "en", recipes, folds=2, max_iter=5)
+    assert len(calls) == 1 and len(found) == 3 and len(fits) == 6
+    for (given, _, steps, recipe, words), made in fits:
+        alone = fit(train.join(given.select("ord"), "ord", "left_semi"), "en", steps, recipe)
+        assert alone.pipeline.stages[0].vocabulary == list(words)
+        assert np.allclose(alone.pipeline.stages[-1].coefficients.toArray(), made.pipeline.stages[-1].coefficients.toArray(), atol=1e-6)
