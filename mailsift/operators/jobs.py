@@ -33,15 +33,15 @@ def mailbox_pass(store: Store, fetched: DataFrame, models: Mapping[str, Language
     """Score and store new mail; returns (saved, fetched). Rows refused by the store count as fetched only.
 
     ``fetched`` is read for its ids, for its rows and for its count: hand in a written table, as
-    ``maildrop.parse`` returns. New mail is written by language, so every model reads its own alone. Mail
-    without an id goes to the rejects.
+    ``maildrop.parse`` returns. New mail is written by language, so every model reads its own alone; the
+    model's text is composed as it is read. Mail without an id goes to the rejects.
     """
     patterns = Snapshots(store, TRUST).state()
     refused = fetched.filter(F.col("gmail_id").isNull())
     if refused.limit(1).count():
         save_rejects(store, "messages", refused, F.lit("no id"))
     new = mailbox.new_mail(fetched, store.read("messages"))
-    fresh = cut_lineage(mailbox.model_input(new), by="lang")
+    fresh = mailbox.composed(cut_lineage(mailbox.routed(new), by="lang"))
     rows = cut_lineage(mailbox.fetched_messages(score_routed(fresh, models), patterns))
     save_predictions(store, rows)
     return rows.filter(in_domain("predicted_label", TIER_LABELS)).count(), fetched.count()

@@ -132,11 +132,19 @@ def stored_content(messages: DataFrame, ids: DataFrame) -> DataFrame:
     return lookup_join(rows, ids.select("gmail_id").distinct(), ["gmail_id"], "left_semi")
 
 
+def routed(mail: DataFrame) -> DataFrame:
+    """Add ``lang`` (from subject and body)."""
+    return spread(mail).withColumn("lang", route_lang("subject", "body"))
+
+
+def composed(mail: DataFrame) -> DataFrame:
+    """Add the composed model ``text``."""
+    return mail.withColumn("text", compose_email("subject", "sender", "body", "attachment"))
+
+
 def model_input(mail: DataFrame) -> DataFrame:
     """Add ``lang`` (from subject and body) and the composed model ``text``."""
-    return spread(mail).withColumn("lang", route_lang("subject", "body")).withColumn(
-        "text", compose_email("subject", "sender", "body", "attachment")
-    )
+    return composed(routed(mail))
 
 
 def fetched_messages(scored: DataFrame, patterns: DataFrame) -> DataFrame:
