@@ -98,3 +98,19 @@ def test_folds_and_recipes_share_their_counts(spark, monkeypatch):
         alone = fit(train.join(given.select("ord"), "ord", "left_semi"), "en", steps, recipe)
         assert alone.pipeline.stages[0].vocabulary == list(words)
         assert np.allclose(alone.pipeline.stages[-1].coefficients.toArray(), made.pipeline.stages[-1].coefficients.toArray(), atol=1e-6)
+
+
+def test_all_feedback_is_learnt_from(spark):
+    """More reports than the 100,000 that training once stopped at; the oldest alone know a word."""
+    texts = [(i, "spam" if i % 2 else "ham", f"{WORDS[i % 6]} mail", i % 2) for i in range(40)]
+    corpus = spark.createDataFrame(texts, "id long, label string, text string, y int").withColumn("lang", F.lit("en"))
+    n = 100_020
+    reports = spark.range(n).select(
+        "id",
+        F.when(F.col("id") < 20, "oldest mail").otherwise("red mail").alias("content"),
+        F.when(F.col("id") % 2 == 0, "ham").otherwise("spam").alias("user_label"),
+        F.timestamp_seconds("id").cast("timestamp_ntz").alias("created_at"),
+    )
+    made, _, n_train, n_test = model.train_and_evaluate(corpus, reports, "en", max_iter=1)
+    assert (n_train, n_test) == (32 + 5 * n, 8)
+    assert "oldest" in made.pipeline.stages[0].vocabulary
