@@ -138,6 +138,20 @@ def test_feedback_copies_and_weight(spark):
     assert corpus.class_weight(full.filter("y = 0")).first()["pos_weight"] == 1.0
 
 
+def test_feedback_is_of_all_reports(spark):
+    """No cut at 100,000 reports, nor a ranking of them; the newest alone only where that is asked for."""
+    reports = spark.range(100_010).select(
+        "id",
+        F.when(F.col("id") % 10 == 0, "안녕").otherwise("hello").alias("content"),
+        F.lit("spam").alias("user_label"),
+        F.timestamp_seconds("id").cast("timestamp_ntz").alias("created_at"),
+    )
+    found = {lang: corpus.feedback_rows(reports, lang) for lang in ("ko", "en")}
+    assert {lang: rows.count() for lang, rows in found.items()} == {"ko": 10_001, "en": 90_009}
+    assert found["ko"].filter("id = 0").count() == 1
+    assert corpus.feedback_rows(reports, "en", limit=3).count() == 3
+
+
 def vocab(spark, texts, lang="ko", **options):
     rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
     got = features.vocabulary(rows, lang, "id", specials=True, **options).collect()
