@@ -215,17 +215,26 @@ def index_rows(texts: DataFrame, width: int, percent: int) -> DataFrame:
     return texts.filter("doc_id is not null").mapInArrow(run, schema)
 
 
+def _dealt(df: DataFrame) -> DataFrame:
+    """A side of a join that is dealt out by its keys, never broadcast.
+
+    Tables of pairs, copies, sizes and labels grow with the input. A broadcast of one, which Spark may choose
+    anew for each of the many joins here, passes the driver; dealt out they leave nothing there.
+    """
+    return df.hint("merge")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node and comp (the smallest node it is connected with) for undirected edges (a, b)."""
     both = cut_lineage(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = cut_lineage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp")))
     while True:
         there = labels.select(F.col("node").alias("b"), F.col("comp").alias("c"))
-        least = both.join(there, "b").groupBy(F.col("a").alias("node")).agg(F.min("c").alias("c"))
-        joined = labels.join(least, "node").select("node", "comp", F.least("comp", "c").alias("c"))
+        least = both.join(_dealt(there), "b").groupBy(F.col("a").alias("node")).agg(F.min("c").alias("c"))
+        joined = labels.join(_dealt(least), "node").select("node", "comp", F.least("comp", "c").alias("c"))
         # Jump: take over the component of the node that names one's own.
         jump = labels.select(F.col("node").alias("c"), F.col("comp").alias("cc"))
-        new = cut_lineage(joined.join(jump, "c", "left").select("node", "comp", F.least("c", "cc").alias("new")))
+        new = cut_lineage(joined.join(_dealt(jump), "c", "left").select("node", "comp", F.least("c", "cc").alias("new")))
         changed = new.filter("new <> comp").limit(1).count()
         labels = new.select("node", F.col("new").alias("comp"))
         if not changed:
@@ -234,8 +243,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose texts are alike; ``texts`` has doc and text."""
-    right = pairs.join(texts.select(F.col("doc").alias("b"), F.col("text").alias("text_b")), "b")
-    both = right.join(texts.select(F.col("doc").alias("a"), F.col("text").alias("text_a")), "a")
+    right = pairs.join(_dealt(texts.select(F.col("doc").alias("b"), F.col("text").alias("text_b"))), "b")
+    both = right.join(_dealt(texts.select(F.col("doc").alias("a"), F.col("text").alias("text_a"))), "a")
 
     def run(batches):
         last, mine = None, None
@@ -305,10 +314,10 @@ def links_in_crowds(crowded: DataFrame, bodies: DataFrame, width: int, percent:
     heads = crowded.groupBy("sig").agg(F.min("c").alias("a"))
     ties = crowded.join(heads, "sig").filter("a <> c").select("a", F.col("c").alias("b")).distinct()
     groups = components(ties)
-    member = crowded.select("doc", "c").distinct().join(groups, F.col("c") == F.col("node")).select("doc", "c", "comp")
+    member = crowded.select("doc", "c").distinct().join(_dealt(groups), F.col("c") == F.col("node")).select("doc", "c", "comp")
     member = cut_lineage(member)
     sizes = member.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    dealt = member.join(sizes, "comp").withColumn("mine", F.pmod(F.xxhash64(F.lit(8), "doc"), F.col("blocks")).cast("int"))
+    dealt = member.join(_dealt(sizes), "comp").withColumn("mine", F.pmod(F.xxhash64(F.lit(8), "doc"), F.col("blocks")).cast("int"))
     # A set takes part in as many comparisons as its group has blocks.
     others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     dealt = dealt.select("doc", "c", "comp", "mine", others).select(
@@ -326,7 +335,7 @@ def links_in_crowds(crowded: DataFrame, bodies: DataFrame, width: int, percent:
         links = spanning_links(g["doc"], g["c"], sets, g["side"], percent) if len(set(g["c"])) > 1 else []
         return pa.table({k: pa.array([x[i] for x in links], pa.int64()) for i, k in enumerate("ab")})
 
-    return dealt.join(bodies, "doc").groupBy("comp", "lo", "hi").applyInArrow(compare, schema)
+    return dealt.join(_dealt(bodies), "doc").groupBy("comp", "lo", "hi").applyInArrow(compare, schema)
 
 
 def linked_components(documents: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -350,19 +359,19 @@ def linked_components(documents: DataFrame, key: str = "doc_id", text: str = "te
 
     def by_rep(pairs: DataFrame) -> DataFrame:
         """Pairs of representatives that can be alike by size, each once, with its number of rows."""
-        a = pairs.join(rep.select(F.col("doc").alias("x"), F.col("rep").alias("rx")), "x", "left")
-        a = a.join(rep.select(F.col("doc").alias("y"), F.col("rep").alias("ry")), "y", "left")
+        a = pairs.join(_dealt(rep.select(F.col("doc").alias("x"), F.col("rep").alias("rx"))), "x", "left")
+        a = a.join(_dealt(rep.select(F.col("doc").alias("y"), F.col("rep").alias("ry"))), "y", "left")
         a = a.select(F.coalesce("rx", "x").alias("x"), F.coalesce("ry", "y").alias("y"), "n")
         a = a.filter("x <> y").groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.sum("n").alias("n"))
-        a = a.join(size.select(F.col("doc").alias("a"), F.col("most").alias("ma"), F.col("least").alias("la")), "a")
-        a = a.join(size.select(F.col("doc").alias("b"), F.col("most").alias("mb"), F.col("least").alias("lb")), "b")
+        a = a.join(_dealt(size.select(F.col("doc").alias("a"), F.col("most").alias("ma"), F.col("least").alias("la"))), "a")
+        a = a.join(_dealt(size.select(F.col("doc").alias("b"), F.col("most").alias("mb"), F.col("least").alias("lb"))), "b")
         fits = (100 * F.col("ma") >= percent * F.col("lb")) & (100 * F.col("mb") >= percent * F.col("la"))
         return a.filter(fits).select("a", "b", "n")
 
     stars = met.filter("head <> doc").groupBy(F.col("head").alias("x"), F.col("doc").alias("y")).agg(F.count(F.lit(1)).alias("n"))
     stars = cut_lineage(by_rep(stars))
     # Texts of the sets that may take part in a pair; of an id with several, each is tried.
-    wanted = met.select(F.col("doc").alias("d")).distinct().join(rep.select(F.col("doc").alias("d"), "rep"), "d", "left")
+    wanted = met.select(F.col("doc").alias("d")).distinct().join(_dealt(rep.select(F.col("doc").alias("d"), "rep")), "d", "left")
     wanted = cut_lineage(wanted.select(F.coalesce("rep", "d").alias("doc_id")).distinct())
     small = wanted.count() <= BROADCAST_ROWS
     bodies = texts.join(F.broadcast(wanted) if small else wanted, "doc_id", "left_semi")
@@ -378,7 +387,7 @@ def linked_components(documents: DataFrame, key: str = "doc_id", text: str = "te
     def of(df: DataFrame, column: str, name: str) -> DataFrame:
         """Adds the component of a node; a node without edges is its own."""
         at = labels.select(F.col("node").alias("_node"), F.col("comp").alias("_comp"))
-        joined = df.join(at, df[column] == at["_node"], "left")
+        joined = df.join(_dealt(at), df[column] == at["_node"], "left")
         return joined.withColumn(name, F.coalesce("_comp", column)).drop("_node", "_comp")
 
     # Then one set of each other component that a star meets, then all that is left.
@@ -386,7 +395,7 @@ def linked_components(documents: DataFrame, key: str = "doc_id", text: str = "te
         if step == "stars":
             todo = stars.select("a", "b")
         else:
-            node = met.select("sig", "doc").join(rep, "doc", "left").select("sig", F.coalesce("rep", "doc").alias("doc")).distinct()
+            node = met.select("sig", "doc").join(_dealt(rep), "doc", "left").select("sig", F.coalesce("rep", "doc").alias("doc")).distinct()
             node = of(node, "doc", "c")
             several = node.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("k"))
             node = cut_lineage(node.join(several.filter("lo <> hi").select("sig", "k"), "sig"))
@@ -397,10 +406,10 @@ def linked_components(documents: DataFrame, key: str = "doc_id", text: str = "te
             node = node.filter(F.col("k") <= CROWD)
             x = node.select("sig", F.col("doc").alias("x"), F.col("c").alias("cx"))
             y = node.select("sig", F.col("doc").alias("y"), F.col("c").alias("cy"))
-            todo = x.join(y, "sig").filter("cx <> cy and x < y").select("x", "y").distinct().withColumn("n", F.lit(1))
+            todo = x.join(_dealt(y), "sig").filter("cx <> cy and x < y").select("x", "y").distinct().withColumn("n", F.lit(1))
             todo = by_rep(todo).select("a", "b")
         todo = of(of(todo, "a", "ca"), "b", "cb").filter("ca <> cb").select("a", "b")
-        todo = cut_lineage(todo.join(tried, ["a", "b"], "left_anti"))
+        todo = cut_lineage(todo.join(_dealt(tried), ["a", "b"], "left_anti"))
         if not todo.limit(1).count():
             continue
         tried = tried.unionByName(todo)

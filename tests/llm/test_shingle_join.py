@@ -134,6 +134,21 @@ def test_ids_that_repeat_or_lack(spark):
     assert shingle_join.linked_components(docs.limit(0)).collect() == []
 
 
+def test_tables_that_grow_are_not_broadcast(spark, monkeypatch):
+    """Labels, pairs, sizes and texts are dealt out, however small Spark takes them to be."""
+    plans, cut = [], shingle_join.cut_lineage
+    monkeypatch.setattr(shingle_join, "cut_lineage", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    docs = documents(spark, corpus(random.Random(5)))
+    found = shingle_join.linked_components(docs)
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    joins = [line for plan in plans for line in plan.splitlines() if "BroadcastHashJoin" in line]
+    # By digest or segment, where a key may be hot, and the ids wanted, which are counted before.
+    assert sum("SortMergeJoin" in plan for plan in plans) >= 10
+    assert all("[d1#" in line or "[sig#" in line or "LeftSemi" in line for line in joins), joins
+    edges = spark.createDataFrame([(1, 2), (2, 3), (7, 9)], "a long, b long")
+    assert sorted(map(tuple, shingle_join.components(edges).collect())) == [(1, 1), (2, 1), (3, 1), (7, 7), (9, 7)]
+
+
 def test_query_equals_its_sql(spark):
     sf = "/root/testdata/sf0.001"
     assert compare(connect(sf), queries.QUERIES["op9_shingle_join"](spark, sf), queries.SQL["op9_shingle_join"]) == []
